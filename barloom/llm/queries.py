@@ -106,8 +106,8 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
 i AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM i),
 f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
-h AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS at FROM g JOIN f USING (g) WHERE first < doc_id),
-x AS (SELECT doc_id, list(at) AS gone FROM h GROUP BY doc_id),
+h AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS pos FROM g JOIN f USING (g) WHERE first < doc_id),
+x AS (SELECT doc_id, list(pos) AS gone FROM h GROUP BY doc_id),
 k AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone, list_filter(w, lambda t, n: NOT list_contains(coalesce(gone, []), n)) AS kept FROM d LEFT JOIN x USING (doc_id))
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
