@@ -46,12 +46,7 @@ def pack(owner: np.ndarray, key: np.ndarray, buckets: int, tell_first: bool) ->
     rows: list[tuple] = []
     told = shared & (tell_first | (owner != first))
     if told.any():
-        who, sizes, keys, firsts, _ = _by_owner(owner[told], key[told], first[told])
-        home, ends = who % buckets, np.cumsum(sizes)
-        for b in np.unique(home):
-            at = np.flatnonzero(home == b)
-            take = np.concatenate([np.arange(ends[i] - sizes[i], ends[i]) for i in at])
-            rows.append((int(b), True, who[at].tobytes(), sizes[at].astype(np.int32).tobytes(), keys[take].tobytes(), firsts[take].tobytes()))
+        rows = _homeward(owner[told], key[told], first[told], buckets)
     lead = owner == first
     owner, key = owner[lead], key[lead]
     home = ((key >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
@@ -61,39 +56,33 @@ def pack(owner: np.ndarray, key: np.ndarray, buckets: int, tell_first: bool) ->
     for a, z in zip(cuts, [*cuts[1:], len(home)], strict=True):
         who, sizes, keys, _, _ = _by_owner(owner[a:z], key[a:z], key[a:z])
         rows.append((int(home[a]), False, who.tobytes(), sizes.astype(np.int32).tobytes(), keys.tobytes(), b""))
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+    yield from _batch(rows)
 
 
-def _notes(owner: np.ndarray, key: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _homeward(owner: np.ndarray, key: np.ndarray, first: np.ndarray, buckets: int) -> list[tuple]:
+    """Packed rows for the owners' own buckets."""
     who, sizes, keys, firsts, starts = _by_owner(owner, key, first)
-    for at in range(0, len(who), 20_000):
-        part = range(at, min(at + 20_000, len(who)))
-        cut = lambda x: [x[starts[i] : starts[i] + sizes[i]].tobytes() for i in part]  # noqa: B023, E731
-        yield pa.RecordBatch.from_arrays([pa.array(who[at : at + 20_000]), pa.array(cut(keys), pa.binary()), pa.array(cut(firsts), pa.binary())], schema=_NOTES)
+    home = who % buckets
+    rows = []
+    for b in np.unique(home):
+        at = np.flatnonzero(home == b)
+        take = np.repeat(starts[at] - np.r_[0, np.cumsum(sizes[at])[:-1]], sizes[at]) + np.arange(sizes[at].sum())
+        rows.append((int(b), True, who[at].tobytes(), sizes[at].astype(np.int32).tobytes(), keys[take].tobytes(), firsts[take].tobytes()))
+    return rows
 
 
-def held_by_others(packed: DataFrame, tell_first: bool) -> DataFrame:
-    """Of rows as `pack` makes them: (owner, keys, firsts), the owner's keys that other owners hold too.
+def _batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
-    `firsts` has each key's smallest owner known there. With `tell_first` unset, the smallest owner of a
-    key isn't told of it. An owner may get several rows. One bucket is held in memory at a time; there are
-    as many buckets as four times the shuffle partitions, so their size follows that setting.
-    """
 
-    def settle(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        for known in (True, False):
-            part = [r for r in rows if r["known"] == known]
-            if not part:
-                continue
-            owner = np.repeat(np.frombuffer(b"".join(r["owners"] for r in part), np.int64), np.frombuffer(b"".join(r["sizes"] for r in part), np.int32))
-            key = np.frombuffer(b"".join(r["keys"] for r in part), np.uint64)
-            if known:
-                yield from _notes(owner, key, np.frombuffer(b"".join(r["firsts"] for r in part), np.int64))
-            else:
-                owner, key, first, shared = _sorted(owner, key)
-                told = shared & (tell_first | (owner != first))
-                yield from _notes(owner[told], key[told], first[told])
+def _entries(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    joined = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), kind)
+    return np.repeat(joined("owners", np.int64), joined("sizes", np.int32)), joined("keys", np.uint64), joined("firsts", np.int64)
+
+
+def _by_bucket(settle):
+    """A mapInArrow function that gives `settle` the rows of one bucket at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
@@ -106,9 +95,39 @@ def held_by_others(packed: DataFrame, tell_first: bool) -> DataFrame:
         if rows:
             yield from settle(rows)
 
-    n = tasks(packed.sparkSession)
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, NOTES)
+    return run
+
+
+def held_by_others(packed: DataFrame, tell_first: bool) -> DataFrame:
+    """Of rows as `pack` makes them: (owner, keys, firsts), the owner's keys that other owners hold too.
+
+    `firsts` has each key's smallest owner known there. With `tell_first` unset, the smallest owner of a
+    key isn't told of it. Every owner that is told gets one row. Keys meet in the bucket of their hash; what is
+    found goes, packed, to the owners' buckets. One bucket is held in memory at a time; there are as many as
+    shuffle partitions, so their size follows that setting.
+    """
+    n = buckets(packed)
+
+    def settle(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        if known := [r for r in rows if r["known"]]:
+            yield from _batch(_homeward(*_entries(known), n))
+        if met := [r for r in rows if not r["known"]]:
+            owner, key, first, shared = _sorted(*_entries(met)[:2])
+            told = shared & (tell_first | (owner != first))
+            yield from _batch(_homeward(owner[told], key[told], first[told], n))
+
+    def deliver(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        who, sizes, keys, firsts, starts = _by_owner(*_entries(rows))
+        for at in range(0, len(who), 5_000):
+            part = range(at, min(at + 5_000, len(who)))
+            cut = lambda x: pa.array([x[starts[i] : starts[i] + sizes[i]].tobytes() for i in part], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(who[at : at + 5_000]), cut(keys), cut(firsts)], schema=_NOTES)
+
+    def sent(df: DataFrame) -> DataFrame:
+        return df.repartition(n, "bucket").sortWithinPartitions("bucket")
+
+    return sent(sent(packed).mapInArrow(_by_bucket(settle), PACKED)).mapInArrow(_by_bucket(deliver), NOTES)
 
 
 def buckets(df: DataFrame) -> int:
-    return 4 * tasks(df.sparkSession)
+    return tasks(df.sparkSession)

@@ -49,18 +49,13 @@ def anchors(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def _joined(parts: list[bytes] | None, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), kind) if parts else np.empty(0, kind)
-
-
-def _packing(keys_of, n_buckets: int, tell_first: bool):
-    """A mapInArrow function: packed keys of every row that has an id."""
+def _packing(keys_of, columns: list[str], n_buckets: int, tell_first: bool):
+    """A mapInArrow function: packed keys of every row that has an id, the first of `columns`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners, keys, held = [], [], 0
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for owner, *rest in zip(*columns, strict=True):
+            for owner, *rest in zip(*(batch[c].to_pylist() for c in columns), strict=True):
                 found = keys_of(*rest)
                 if owner is None or not len(found):
                     continue
@@ -88,20 +83,23 @@ def parse(at: np.ndarray, reference: np.ndarray, words: int) -> list[dict]:
 def factor(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 13) -> DataFrame:
     """`df` with _n_words, _n_removed, _factors and _kept (the words outside factors, joined by a space)."""
     n = buckets(df)
-    docs = df.select(F.col(key).cast("long").alias("_owner"), F.col(text).alias("_words"))
-    first = docs.mapInArrow(_packing(lambda t: np.unique(anchors(word_hashes(split(t)), words)), n, True), PACKED)
-    live = held_by_others(first, tell_first=True).groupBy(F.col("owner").alias("_live_owner")).agg(F.collect_list("keys").alias("_live"))
-
-    def windows(t: str | None, live: list[bytes]) -> np.ndarray:
+    # both joins read all columns, so that Spark sends the texts to their ids once
+    docs = df.withColumn("_owner", F.col(key).cast("long"))
+    first = docs.mapInArrow(_packing(lambda t: np.unique(anchors(word_hashes(split(t)), words)), ["_owner", text], n, True), PACKED)
+    live = held_by_others(first, tell_first=True).select(F.col("owner").alias("_live_owner"), F.col("keys").alias("_live"))
+
+    def windows(t: str | None, live: bytes | None) -> np.ndarray:
+        if not live:
+            return np.empty(0, np.uint64)
         hashes = word_hashes(split(t))
         grams = gram_hashes(hashes, words)
-        return np.unique(grams[np.isin(anchors(hashes, words), _joined(live, np.uint64))])
+        return np.unique(grams[np.isin(anchors(hashes, words), np.frombuffer(live, np.uint64))])
 
-    some = docs.join(live, F.col("_owner") == F.col("_live_owner")).select("_owner", "_words", "_live")
-    second = some.mapInArrow(_packing(windows, n, False), PACKED)
-    found = held_by_others(second, tell_first=False).groupBy(F.col("owner").alias("_dup_owner")).agg(F.collect_list("keys").alias("_keys"), F.collect_list("firsts").alias("_firsts"))
-    rows = df.join(found, F.col(key).cast("long") == F.col("_dup_owner"), "left").drop("_dup_owner")
-    keep = [c for c in rows.columns if c not in ("_keys", "_firsts")]
+    some = docs.join(live, F.col("_owner") == F.col("_live_owner"), "left")
+    second = some.mapInArrow(_packing(windows, ["_owner", text, "_live"], n, False), PACKED)
+    found = held_by_others(second, tell_first=False).select(F.col("owner").alias("_dup_owner"), F.col("keys").alias("_keys"), F.col("firsts").alias("_firsts"))
+    rows = docs.join(found, F.col("_owner") == F.col("_dup_owner"), "left")
+    keep = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -113,7 +111,7 @@ def factor(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
                     if not keys:
                         out.append((len(w), 0, [], b" ".join(w).decode()))
                         continue
-                    dup, reference = _joined(keys, np.uint64), _joined(firsts, np.int64)
+                    dup, reference = np.frombuffer(keys, np.uint64), np.frombuffer(firsts, np.int64)
                     order = np.lexsort((reference, dup))
                     dup, reference = dup[order], reference[order]
                     grams = gram_hashes(word_hashes(w), words)
@@ -129,5 +127,4 @@ def factor(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
                 columns = list(zip(*out, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), _FACTOR, pa.string()), strict=True))], names=[*keep, "_n_words", "_n_removed", "_factors", "_kept"])
 
-    fields = [f for f in rows.schema.fields if f.name in keep]
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_factors", FACTORS), T.StructField("_kept", T.StringType())]))
+    return rows.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_factors", FACTORS), T.StructField("_kept", T.StringType())]))
