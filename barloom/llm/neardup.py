@@ -6,9 +6,9 @@ the rarest, two such texts must share one among all but `matches` - 1 of their p
 that only one class has is skipped, so most texts post nothing. Collisions of candidates are then counted on
 whole signatures, and links confirmed on the full sets.
 
-Long posting lists aren't expanded into pairs. First every member meets the list's smallest and largest id;
-confirmed links make components. Then only members of different components in one list are paired, which
-loses no link between components. With 64 values and 32 matches a link at similarity 0.75 is missed with a
+Long posting lists aren't expanded into pairs. In a few rounds every class meets one other, the hub that leads
+most of its lists; confirmed links make components. Lists that still hold several components are compared
+in blocks of bounded size, whole sets against whole sets, and only links that join components come out. With 64 values and 32 matches a link at similarity 0.75 is missed with a
 probability of about 4e-6; candidates below it are confirmed exactly.
 
 Edge cases: null and empty texts have no shingles and no links; shorter texts than a shingle are one shingle.
@@ -31,6 +31,8 @@ from .components import components
 from .exchange import PACKED, buckets, held_by_others
 from .substring import _packing
 
+ROUNDS = 2
+BLOCK = 128  # texts
 SIGNED = "id long, n long, same binary, sig array<long>"
 
 
@@ -68,14 +70,12 @@ def sign(df: DataFrame, key: str, text: str, words: int, coordinates: int) -> Da
 
 def _postings(reps: DataFrame, matches: int) -> DataFrame:
     """(value, id, low, high): each representative under the prefix of its shared coordinate values."""
-    packed = reps.select("id", "sig").mapInArrow(_packing(lambda sig: np.array(sig, np.int64).view(np.uint64), buckets(reps), True), PACKED)
-    notes = held_by_others(packed, tell_first=True)
-    size = F.sum(F.octet_length("keys") / 8).alias("size")
-    shared = notes.groupBy("owner").agg(F.collect_list("keys").alias("keys"), size).where(F.col("size") >= matches)
+    packed = reps.select("id", "sig").mapInArrow(_packing(lambda sig: np.array(sig, np.int64).view(np.uint64), ["id", "sig"], buckets(reps), True), PACKED)
+    shared = held_by_others(packed, tell_first=True).where(F.octet_length("keys") >= 8 * matches)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [(o, np.unique(np.frombuffer(b"".join(k), np.int64))) for o, k in zip(batch["owner"].to_pylist(), batch["keys"].to_pylist(), strict=True)]
+            parts = [(o, np.unique(np.frombuffer(k, np.int64))) for o, k in zip(batch["owner"].to_pylist(), batch["keys"].to_pylist(), strict=True)]
             if parts:
                 yield pa.RecordBatch.from_pydict({"value": pa.array(np.concatenate([k for _, k in parts])), "id": pa.array(np.repeat([o for o, _ in parts], [len(k) for _, k in parts]).astype(np.int64))})
 
@@ -118,6 +118,77 @@ def _confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return texts.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def _similar(left: list[tuple], right: list[tuple] | None, percent: int) -> list[tuple[int, int]]:
+    """Links between texts of different labels, no more than join them; each text is (id, label, packed set)."""
+    both = left + (right or [])
+    sets = [np.frombuffer(x[2], np.uint64) for x in both]
+    size = np.array([len(x) for x in sets])
+    key, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(both)), size), often[column] > 1
+    number = np.cumsum(often > 1) - 1
+    row, column = row[shared], number[column[shared]]
+    n = len(left)
+    inter = np.zeros((n, len(both) - (n if right else 0)), np.float32)
+    for at in range(0, int(column.max(initial=-1)) + 1, 4096):
+        here = (column >= at) & (column < at + 4096)
+        m = np.zeros((len(both), 4096), np.float32)
+        m[row[here], column[here] - at] = 1
+        inter += m[:n] @ (m[n:] if right else m).T
+    other = size[n:] if right else size
+    a, b = np.nonzero(100 * inter >= percent * (size[:n, None] + other - inter))
+    head: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while head.setdefault(x, x) != x:
+            head[x] = x = head[head[x]]
+        return x
+
+    out, base = [], right or left
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = root(left[i][1]), root(base[j][1])
+        if x != y:
+            head[x] = y
+            out.append((min(left[i][0], base[j][0]), max(left[i][0], base[j][0])))
+    return out
+
+
+def _cross(posts: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between components that share posting lists.
+
+    Lists that have members in common make a cluster. A cluster of several components is cut into blocks of
+    bounded size, and each two blocks are compared, whole sets against whole sets, in a task of their own.
+    """
+    lead = posts.groupBy("value").agg(F.min("id").alias("a"))
+    clusters = components(posts.join(lead, "value").where("a < id").select("a", F.col("id").alias("b")).distinct())
+    known = clusters.withColumnRenamed("label", "cluster").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = known.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y")
+    mixed = mixed.select("cluster", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    members = known.join(mixed, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumnRenamed("id", "_id")
+    texts = docs.join(members, F.col("id") == F.col("_id")).select("id", "text", "cluster", "blocks", "block", "label")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("id", "cluster", "blocks", "block", "label")), pa.array([shingles(t, words).tobytes() for t in batch["text"].to_pylist()], pa.binary())], names=["id", "cluster", "blocks", "block", "label", "set"])
+
+    whole = texts.mapInArrow(sets, "id long, cluster long, blocks int, block int, label long, set binary")
+    whole = written(whole.groupBy("cluster", "blocks", "block").agg(F.collect_list(F.struct("id", "label", "set")).alias("texts")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                left, right = ([(t["id"], t["label"], t["set"]) for t in r[c]] if r[c] else None for c in ("left", "right"))
+                if found := _similar(left, right, percent):
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    # one row for each two blocks, sent on by number so that a large cluster's pairs are spread
+    other = whole.select("cluster", F.col("block").alias("other"), F.col("texts").alias("right"))
+    pairs = whole.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).withColumnRenamed("texts", "left")
+    apart = pairs.where("other > block").join(other, ["cluster", "other"]).select("left", "right")
+    within = whole.select(F.col("texts").alias("left"), F.lit(None).cast(whole.schema["texts"].dataType).alias("right"))
+    return written(apart.unionByName(within).mapInArrow(compare, "a long, b long").distinct())
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, coordinates: int = 64, matches: int = 32) -> DataFrame:
     """One row per row of `df`: id, n_shingles, component_id (the smallest id that can be reached) and kept."""
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -127,25 +198,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     reps = written(own.join(classes.withColumnRenamed("rep", "id"), ["same", "id"], "left_semi").select("id", "n", "sig").distinct())
     posts = _postings(reps, matches)
 
-    lists = posts.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    ends = posts.select("value", "id").join(lists, "value")
-    met = ends.select(F.col("lo").alias("a"), F.col("id").alias("b")).unionByName(ends.select(F.col("id").alias("a"), F.col("hi").alias("b"))).where("a < b").distinct()
-    met = written(met)
-    links = written(_confirm(_count(met, reps, matches, percent), docs, words, percent))
-    labels = components(links)
-
-    known = posts.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = known.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("value")
-    rest = written(known.join(mixed, "value", "left_semi"))
-    left, right = (rest.select("value", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "low", "high", "label"))) for s in "ab")
-    close = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
-    cross = left.join(right, (left["value"] == right["value"]) & (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & close)
-    cross = cross.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
-    counted = written(_count(cross, reps, matches, percent))
-    if not counted.isEmpty():
-        links = written(links.unionByName(_confirm(counted, docs, words, percent)))
+    labels, links, met = posts.select("id", F.col("id").alias("label")).distinct(), None, None
+    for turn in range(ROUNDS):
+        known = posts.join(labels, "id", "left").select("value", "id", F.coalesce("label", "id").alias("label"))
+        first = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        hubs = known.groupBy("value").agg(F.min(F.struct(first.alias("first"), "id", "label")).alias("hub"))
+        toward = known.join(hubs, "value").where("label <> hub.label").groupBy("id", F.col("hub.id").alias("hub")).agg(F.count(F.lit(1)).alias("often"))
+        chosen = toward.groupBy("id").agg(F.max(F.struct("often", -F.col("hub"))).alias("m")).select("id", (-F.col("m.col2")).alias("hub"))
+        pairs = written(chosen.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+        if met is not None:
+            pairs = pairs.join(met, ["a", "b"], "left_anti")
+        new = _confirm(_count(pairs, reps, matches, percent), docs, words, percent)
+        met = pairs if met is None else met.unionByName(pairs)
+        links = written(new if links is None else links.unionByName(new))
         labels = components(links)
 
+    more = _cross(posts, labels, docs, words, percent)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
+
     placed = signed.where("n > 0 and id is not null").join(classes, "same").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
     # rows of one id are one document: what their classes reach is one component
     placed = placed.select("id", "n", F.coalesce("label", "rep").alias("component_id"))
