@@ -29,36 +29,12 @@ def ema_alpha(n: int) -> float:
 TRADES = "symbol string, action string, quantity double, entry_time timestamp, entry_price double, exit_time timestamp, exit_price double, pnl double, exit_reason string"
 
 
-def _fold(pdf: pd.DataFrame, quantity: float, stop_pct: float | None, target_pct: float | None, trailing_pct: float | None, max_bars: int | None) -> pd.DataFrame:
-    """One position at a time; what a closed bar decides is filled at the next bar's open."""
-    pdf = pdf.sort_values("time", kind="stable")
-    rows, side, entry, entered, peak, held, queued, why = [], 0, 0.0, None, 0.0, 0, 0, ""
-    leave = False
-    for t, o, h, l, c, buy, sell in zip(pdf["time"], pdf["open"], pdf["high"], pdf["low"], pdf["close"], pdf["buy"], pdf["sell"], strict=True):
-        if leave and side:
-            rows.append(("BUY" if side > 0 else "SELL", quantity, entered, entry, t, o, (o - entry) * side * quantity, why))
-            side = 0
-        leave = False
-        if queued and not side:
-            side, entry, entered, peak, held = queued, o, t, o, 0
-        queued = 0
-        if side:
-            held += 1
-            peak = max(peak, h) if side > 0 else min(peak, l)
-            worst, best = (l, h) if side > 0 else (h, l)
-            rules = (("fixed_sl", stop_pct and (worst - entry * (1 - side * stop_pct)) * side <= 0), ("fixed_tp", target_pct and (best - entry * (1 + side * target_pct)) * side >= 0), ("trailing", trailing_pct and (worst - peak * (1 - side * trailing_pct)) * side <= 0), ("time_stop", max_bars and held >= max_bars), ("opposite_signal", sell if side > 0 else buy))
-            why = next((name for name, fired in rules if fired), "")
-            leave = bool(why)
-        if buy or sell:
-            queued = 1 if buy else -1
-            if side and not leave:
-                queued = 0
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in TRADES.split(", ")][1:]).assign(symbol=pdf["symbol"].iloc[0] if len(pdf) else None)[[x.split()[0] for x in TRADES.split(", ")]]
-
-
 def backtest(bars: DataFrame, quantity: float = 1.0, stop_pct: float | None = None, target_pct: float | None = None, trailing_pct: float | None = None, max_bars: int | None = None, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Closed trades from bars with boolean `buy` and `sell`; the first exit rule that fires wins; an open trade at the end isn't returned."""
-    return bars.groupBy(*by).applyInPandas(lambda pdf: _fold(pdf, quantity, stop_pct, target_pct, trailing_pct, max_bars), TRADES)
+    """One position at a time from bars with boolean `buy` and `sell`; `rules.replay` has all exits, sizes and costs."""
+    from .rules import Exits, fixed_quantity, replay
+
+    exits = Exits(stop_loss_pct=stop_pct or 0.0, take_profit_pct=target_pct or 0.0, trailing_stop_pct=trailing_pct or 0.0, max_bars_in_trade=max_bars or 0)
+    return replay(bars, exits, fixed_quantity(quantity), max_position=quantity, by=by)
 
 
 def parabolic_sar(bars: DataFrame, step: float = 0.02, most: float = 0.2) -> DataFrame:

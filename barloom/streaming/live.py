@@ -10,3 +10,36 @@ def completed_bars(ticks: DataFrame, length: str = "1 hour", late: str = "1 hour
     order = F.struct("ts", "seq")
     bars = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("symbol", F.window("ts", length).alias("w")).agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("volume").alias("volume"))
     return bars.select("symbol", F.col("w.start").alias("time"), "open", "high", "low", "close", "volume")
+
+
+DECISIONS = "symbol string, time timestamp, close double, fast double, slow double, buy boolean, sell boolean"
+
+
+def crossover_decisions(bars: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
+    """One decision per completed bar of a stream: moving-average crosses from a bounded window of bars kept as state.
+
+    A bar at or before the series' last evaluated one is late or repeated and gives no second decision. The state is the
+    last slow + 1 closes, so its size doesn't depend on how long the stream runs.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def run(key, parts, state):
+        import pandas as pd
+
+        last, closes = state.get if state.exists else (None, [])
+        closes, out = list(closes), []
+        pdf = pd.concat(list(parts)).sort_values("time", kind="stable")
+        mean = lambda xs, n: sum(xs[-n:]) / n if len(xs) >= n else None
+        for time, close in zip(pdf["time"], pdf["close"], strict=True):
+            if last is not None and time.value // 1000 <= last:
+                continue
+            before = mean(closes, fast), mean(closes, slow)
+            closes = [*closes, float(close)][-(slow + 1) :]
+            now = mean(closes, fast), mean(closes, slow)
+            known = None not in (*before, *now)
+            out.append((key[0], time, close, *now, known and now[0] > now[1] and before[0] <= before[1], known and now[0] < now[1] and before[0] >= before[1]))
+            last = time.value // 1000
+        state.update((last, closes))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in DECISIONS.split(", ")])
+
+    return bars.groupBy("symbol").applyInPandasWithState(run, DECISIONS, "last bigint, closes array<double>", "append", GroupStateTimeout.NoTimeout)
