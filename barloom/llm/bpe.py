@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MEMO_CHUNKS = 400_000
+#: above every rank
+NO_RANK = 1 << 62
 #: Unicode's White_Space, as the pattern's \s has it (fixed values)
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -40,15 +42,16 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     if len(pieces) > 64:
         return _fold_long(pieces, ranks)
     get = ranks.get
-    while len(pieces) > 1:
-        best, at = None, 0
-        for i in range(len(pieces) - 1):
-            r = get(pieces[i] + pieces[i + 1])
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            break
-        pieces[at : at + 2] = [pieces[at] + pieces[at + 1]]
+    pairs = [get(word[i : i + 2], NO_RANK) for i in range(len(pieces) - 1)]
+    while pairs and (best := min(pairs)) < NO_RANK:
+        i = pairs.index(best)
+        piece = pieces[i] + pieces[i + 1]
+        pieces[i : i + 2] = [piece]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(piece + pieces[i + 1], NO_RANK)
+        if i:
+            pairs[i - 1] = get(pieces[i - 1] + piece, NO_RANK)
     return [ranks[p] for p in pieces]
 
 
