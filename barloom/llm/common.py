@@ -39,7 +39,7 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,6 +60,6 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     out = words[:n].copy()
     for j in range(1, k):
-        out *= _MULT
+        out *= MULT
         out += words[j : j + n]
     return mix(out)

@@ -25,10 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import MULT, mix
+
 WORD = re.compile(r"[^\W\d_]+")
 #: log probability of a UTF-8 byte that no piece covers, alike in every language
 LOG_BYTE = -12.0
 MEMO_WORDS = 200_000
+#: texts scored together, cells of one array of partial sums, letters above which a word is summed with rescaling
+SLICE_TEXTS, BLOCK_CELLS, LONG_WORD = 64, 2_000_000, 24
+#: a sum below this is taken again with rescaling
+LEAST = 1e-280
 
 
 def vocabulary(path: str) -> list[str]:
@@ -153,34 +159,105 @@ def fit(df: DataFrame, vocab: list[str], text: str = "text", lang: str = "lang",
     return Model(languages, {p: tuple(by_lang[code][p][0] for code in languages) for p in vocab}, longest)
 
 
-class _Memo(dict):
-    """Word to its row in a table of log likelihoods; the first MEMO_WORDS words stay."""
+class Scorer:
+    """Log likelihoods of many words at once: the same sums as `log_likelihood`, one array step for each (start, end).
+
+    Pieces are found by 64-bit hashes of the characters from each start on.
+    """
 
     def __init__(self, model: Model):
-        self.model, self.table, self.rest = model, np.zeros((MEMO_WORDS, len(model.languages))), []
-
-    def __missing__(self, word: str) -> int:
-        w = letters(word)
-        row = log_likelihood(w, self.model) if w else (0.0,) * len(self.model.languages)
-        if not w:
-            return -1
-        if len(self) < MEMO_WORDS:
-            self.table[len(self)] = row
-            self[word] = len(self)
-            return self[word]
-        self.rest.append(row)
-        return MEMO_WORDS + len(self.rest) - 1
-
-    def sums(self, words: list[str]) -> np.ndarray | None:
-        self.rest.clear()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        at = at[at >= 0]
-        if not len(at):
-            return None
-        rows = self.table[np.minimum(at, MEMO_WORDS - 1)]
-        if self.rest:
-            rows[at >= MEMO_WORDS] = self.rest
-        return rows.sum(axis=0)
+        self.model, k = model, len(model.languages)
+        # after the pieces: an uncovered character of 1, 2, 3 or 4 bytes, and the word mark
+        rest = [[math.exp(LOG_BYTE * n)] * k for n in (1, 2, 3, 4)] + [[1.0] * k]
+        self.p = np.array([*model.pieces.values(), *rest]).reshape(len(model.pieces) + 5, k)
+        keys = np.array([self.key(p) for p in model.pieces], np.uint64)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[keys >> np.uint64(44)] = True
+        self.block = max(256, BLOCK_CELLS // ((LONG_WORD + 2) * max(k, 1)))
+        self.forget()
+
+    @staticmethod
+    def key(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(MULT) + ord(c) + 1) % (1 << 64)
+        return int(mix(np.array([h], np.uint64))[0])
+
+    def forget(self, room: int = 0) -> None:
+        self.at: dict[str, int] = {}
+        self.table = np.zeros((max(MEMO_WORDS, room) + 1, len(self.model.languages)))  # row 0: words without a letter
+
+    def pieces_in(self, marked: list[str]) -> tuple[np.ndarray, ...]:
+        """Word, start, end and row of every piece in every word, by start and end."""
+        chars = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
+        size = np.fromiter(map(len, marked), np.int64)
+        word = np.repeat(np.arange(len(marked)), size)
+        start = np.arange(len(chars)) - (np.cumsum(size) - size)[word]
+        left = size[word] - start
+        h, live, found = np.zeros(len(chars), np.uint64), np.arange(len(chars)), []
+        for n in range(1, max(self.model.longest, 1) + 1):
+            live = live[left[live] >= n]
+            h[live] = h[live] * MULT + chars[live + (n - 1)] + np.uint64(1)
+            key = mix(h[live])
+            some = np.flatnonzero(self.maybe[key >> np.uint64(44)])
+            at = np.minimum(np.searchsorted(self.keys, key[some]), len(self.keys) - 1)
+            hit = self.keys[at] == key[some]
+            if n == 1:  # a single character must always be possible
+                row = len(self.keys) + np.digitize(chars, [0x80, 0x800, 0x10000])
+                row[chars == ord("▁")] = len(self.keys) + 4
+                row[some[hit]] = self.order[at[hit]]
+                found.append((live, n, row))
+            else:
+                found.append((live[some[hit]], n, self.order[at[hit]]))
+        flat = np.concatenate([f for f, _, _ in found])
+        end = start[flat] + np.concatenate([np.full(len(f), n) for f, n, _ in found])
+        by = np.argsort(start[flat] * (LONG_WORD + 2) + end, kind="stable")
+        return tuple(x[by] for x in (word[flat], start[flat], end, np.concatenate([r for _, _, r in found])))
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        """By word and language."""
+        marked = ["▁" + w if len(w) <= LONG_WORD else "▁" for w in words]
+        word, start, stop, row = self.pieces_in(marked)
+        ahead = np.zeros((LONG_WORD + 2, len(words), len(self.model.languages)))
+        ahead[0] = 1.0
+        p = self.p[row]
+        cuts = np.flatnonzero((np.diff(start) != 0) | (np.diff(stop) != 0)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True):
+            who = word[a:b]
+            ahead[stop[a]][who] += ahead[start[a]][who] * p[a:b]
+        end = ahead[np.fromiter(map(len, marked), np.int64), np.arange(len(words))]
+        scaled = (end < LEAST).any(axis=1) | np.fromiter((len(w) > LONG_WORD for w in words), bool)
+        out = np.log(np.maximum(end, LEAST))
+        for a in np.flatnonzero(scaled):
+            out[a] = log_likelihood(words[a], self.model)
+        return out
+
+    def learn(self, found: set[str]) -> None:
+        """Room in the memo for all of `found`; where it would pass its bound it starts anew."""
+        new = found.difference(self.at)
+        if len(self.at) + len(new) > MEMO_WORDS:
+            self.forget(len(found))
+            new = found
+        # a word that has no letter stays at row 0
+        plain = [(w, x) for w in sorted(new) if (x := letters(w))]
+        rows = {w: 0 for w in new}
+        first = len(self.at) + 1
+        for start in range(0, len(plain), self.block):
+            part = plain[start : start + self.block]
+            self.table[first + start : first + start + len(part)] = self.forward([x for _, x in part])
+        rows.update((w, first + n) for n, (w, _) in enumerate(plain))
+        self.at.update(rows)
+
+    def sums(self, texts: list[list[str]]) -> list[np.ndarray | None]:
+        """By language, for the words of each text; None where no word has a letter."""
+        self.learn(set().union(*texts))
+        out: list[np.ndarray | None] = []
+        for words in texts:
+            at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            out.append(self.table[at].sum(axis=0) if at.any() else None)
+        return out
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -190,18 +267,20 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     df = df.select(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(sent.value)
+        model = sent.value
+        scorer = Scorer(model)
         for batch in batches:
             pred, score = [], []
-            for t in batch[text].to_pylist():
-                sums = memo.sums(WORD.findall(t.lower())) if t and memo.model.languages else None
-                if sums is None:
-                    pred.append("und")
-                    score.append(0.0)
-                    continue
-                best = int(np.argmax(sums))
-                pred.append(memo.model.languages[best])
-                score.append(float(1 / np.exp(sums - sums[best]).sum()))
+            for start in range(0, batch.num_rows, SLICE_TEXTS):
+                texts = batch[text].slice(start, SLICE_TEXTS).to_pylist()
+                for sums in scorer.sums([WORD.findall(t.lower()) if t and model.languages else [] for t in texts]):
+                    if sums is None:
+                        pred.append("und")
+                        score.append(0.0)
+                        continue
+                    best = int(np.argmax(sums))
+                    pred.append(model.languages[best])
+                    score.append(float(1 / np.exp(sums - sums[best]).sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     from pyspark.sql import types as T

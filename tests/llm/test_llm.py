@@ -75,6 +75,29 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(langid.log_likelihood("xy" * 50_000, model)[0])
 
 
+def test_batched_sums_equal_single_ones(monkeypatch):
+    pieces = {"a": (0.2, 0.1), "b": (0.1, 0.3), "ab": (0.3, 0.05), "▁a": (0.2, 0.2), "ç": (0.01, 0.02)}
+    model = langid.Model(("u", "v"), pieces, 2)
+    words = ["a", "ab", "abba", "xay", "中文", "ç", "𝒳", "ab" * 12, "ab" * 300, "中" * 24]
+    want = np.array([langid.log_likelihood(w, model) for w in words])
+    assert np.allclose(langid.Scorer(model).forward(words), want, rtol=1e-12)
+    monkeypatch.setattr(langid, "MEMO_WORDS", 3)  # the memo starts anew within and between calls
+    scorer = langid.Scorer(model)
+    for _ in range(2):
+        for w, x in zip(words, want, strict=True):
+            assert np.allclose(scorer.sums([[w, w]])[0], 2 * x)
+        assert np.allclose(scorer.sums([words])[0], want.sum(axis=0))
+    assert scorer.sums([[], ["²"]]) == [None, None]
+    assert langid.Scorer(langid.Model((), {}, 1)).sums([[]]) == [None]
+
+
+def test_folds_agree():
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    for word in ("aaaaaaa", "mississippi", " überraschend", "zzzqqqxy", "привет", "ab" * 20, "\x00\x01"):
+        one = [word.encode()[i : i + 1] for i in range(len(word.encode()))]
+        assert bpe.fold(word.encode(), ranks) == ([ranks[word.encode()]] if word.encode() in ranks else bpe._fold_long(one, ranks))
+
+
 def test_op1_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = queries.op1_language_id(spark, "/root/testdata/sf0.001").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
