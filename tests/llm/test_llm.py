@@ -92,7 +92,7 @@ def test_batched_sums_equal_single_ones(monkeypatch):
 
 
 def test_folds_agree():
-    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     for word in ("aaaaaaa", "mississippi", " überraschend", "zzzqqqxy", "привет", "ab" * 20, "\x00\x01"):
         one = [word.encode()[i : i + 1] for i in range(len(word.encode()))]
         assert bpe.fold(word.encode(), ranks) == ([ranks[word.encode()]] if word.encode() in ranks else bpe._fold_long(one, ranks))
