@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -128,13 +129,19 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(path)
-        pieces = [b""] * (max(ranks.values()) + 1)
+        by_id = [b""] * (max(ranks.values()) + 1)
         for piece, i in ranks.items():
-            pieces[i] = piece
+            by_id[i] = piece
+        pieces = pa.array(by_id, pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [b"".join(map(pieces.__getitem__, x)) if x else b"" for x in part[ids].to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*keep, decoded])
+                lists = part[ids]
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                joined = pieces.take(lists.flatten())  # the pieces of all rows, one after the other in one buffer
+                starts = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset :]
+                ends = starts[np.cumsum([0, *sizes])]
+                found = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.tobytes()), joined.buffers()[2] or pa.py_buffer(b"")])
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*keep, decoded])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(decoded, T.BinaryType())]))
