@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency.
 
 A line is boilerplate on a host if more than `ratio` of the host's pages hold it, and at least
-`min_pages` do. Such lines go from every page of that host. Only hashes of lines are shuffled to be
+`min_pages` do; op3_line_dedup and the pipeline take a floor of 3 pages, so that the ratio decides from 60
+pages on and small hosts lose what 3 of their pages share. Such lines go from every page of that host. Only hashes of lines are shuffled to be
 counted, summed within tasks first; the text moves once, by its id.
 
 Edge cases: blank lines are no boilerplate and stay. A null text stays null and counts as a page without

@@ -13,6 +13,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PACK_JSON = public_tokenizers.path("byte_bpe_50k.json")
 PACK_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+MIN_PAGES = 3  # a floor against chance only, as one copied page repeats its lines; the ratio decides
 RULES = [urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/")]
 
 
@@ -31,7 +32,7 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = lines.drop_boilerplate(docs)
+    out = lines.drop_boilerplate(docs, min_pages=MIN_PAGES)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 

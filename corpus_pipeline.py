@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import langid, lines, neardup, packing, substring
 from barloom.llm.common import read, written
-from barloom.llm.queries import PIECES, json_encoder
+from barloom.llm.queries import MIN_PAGES, PIECES, json_encoder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,7 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a site repeats go; a document of nothing else goes with them."""
-    out = lines.drop_boilerplate(docs.select(COLUMNS)).where("_n_dropped = 0 or text rlike '\\\\S'")
+    out = lines.drop_boilerplate(docs.select(COLUMNS), min_pages=MIN_PAGES).where("_n_dropped = 0 or text rlike '\\\\S'")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

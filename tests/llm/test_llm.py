@@ -140,6 +140,27 @@ def test_op3(spark):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_op3_small_hosts(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = []
+    for pages in (1, 2, 3, 9, 20, 40, 50, 59, 60, 61):
+        for i in range(pages):
+            t = "\n".join(["all", *(["three"] if i < 3 else []), *(["two"] if i < 2 else []), f"own {pages} {i}"])
+            rows.append((len(rows), t, "en", f"h{pages}", len(t)))
+    spark.createDataFrame(rows, DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
+    want = {}
+    for i, t, _, h, _ in rows:
+        on = lambda x, h=h: sum(x in y[1].split("\n") for y in rows if y[3] == h)
+        n = sum(y[3] == h for y in rows)
+        want[i] = "\n".join(x for x in t.split("\n") if not (on(x) >= 3 and on(x) > 0.05 * n))
+    assert want[3] == "two\nown 3 0"
+    got = collected(queries.op3_line_dedup(spark, f"file://{tmp_path}"))
+    assert {i: r.text_sha256 for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    staged = corpus_pipeline.boilerplate(spark, spark.createDataFrame(rows, DOCS), "")
+    assert {r.doc_id: r.text for r in staged.collect()} == want
+
+
 def test_op4(spark, sf_dir):
     import tiktoken
 
