@@ -75,9 +75,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     host, path = urls.host_and_path(F.col("url"))
-    pages = pages.select("page_id", host.alias("host"), path.alias("path"))
+    pages = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("url").alias("text"))
     rule, verdict = urls.rule_for(F.col("host"), F.col("path"), RULES)
-    pages = pages.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.concat("host", "path").alias("text"))
+    pages = pages.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), "text")
     model = urls.fit(pages.select("text", F.col("ruled").alias("label")))
     return urls.judge(pages, model, "text").select("page_id", "host", "path", "rule", F.coalesce("ruled", "judged").alias("verdict"), "score")
 

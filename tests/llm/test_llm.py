@@ -347,6 +347,22 @@ def test_op10_model_tells_kinds_apart(spark):
     assert [r.judged for r in got][:2] == ["allow", "block"] and got[2].score == got[3].score == 0
 
 
+def test_op10_judges_the_whole_url(spark, tmp_path):
+    urls_ = [f"http://x.org/fr/{i}?good={i}#g" for i in range(300)] + [f"http://example.com/de/{i}?spam={i}#s" for i in range(300)]
+    urls_ += ["http://a.io/p?good=5#g", "http://a.io/p?spam=5#s", "x?good=77#g", "x?spam=77#s", "", None]
+    spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = collected(queries.op10_url_filter(spark, f"file://{tmp_path}"), "page_id")
+    assert [got[i].verdict for i in range(600, 606)] == ["allow", "block", "allow", "block", "allow", "allow"]
+    assert got[600].score > got[601].score and got[602].score > got[603].score and got[604].score == got[605].score == 0
+    assert [(got[i].host, got[i].path, got[i].rule) for i in (600, 602)] == [("a.io", "/p", None), ("", "", None)]
+
+
+def test_op10_empty_is_allowed_at_any_threshold(spark):
+    chars = urls.Markov([("", "a", 1)], 1)
+    out = urls.judge(spark.createDataFrame([("",), (None,), ("a",)], "text string"), urls.Model(chars, chars, 1.0), "text")
+    assert [r.judged for r in out.collect()] == ["allow", "allow", "block"]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
