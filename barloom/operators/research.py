@@ -105,17 +105,17 @@ def regimes(rows: DataFrame, vol: str, n: int = 3, by: str = "symbol") -> DataFr
     return rows.groupBy(by).applyInPandas(run, schema)
 
 
-def correlations(wide: DataFrame, features: list[str]) -> DataFrame:
-    """(a, b, corr): absolute rank correlation of each two features, in one aggregation over rows that have all of them."""
-    wide = wide.dropna(subset=features)
+def correlations(wide: DataFrame, features: list[str], by: str | None = None) -> DataFrame:
+    """(by, a, b, corr): absolute rank correlation of each two features within each `by`, in one aggregation over rows that have all of them."""
+    wide, keys = wide.dropna(subset=features), [by] if by else []
     key = F.monotonically_increasing_id()
-    long = wide.withColumn("_key", key).select("_key", F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")) for f in features))).alias("x")).select("_key", "x.*")
-    counts = long.groupBy("f", "v").agg(F.count(F.lit(1)).alias("c"))
-    ranks = counts.withColumn("rank", F.sum("c").over(W.partitionBy("f").orderBy("v")) - (F.col("c") - 1) / 2)
-    ranked = long.join(ranks, ["f", "v"]).groupBy("_key").pivot("f", features).agg(F.first("rank"))
+    long = wide.withColumn("_key", key).select("_key", *keys, F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")) for f in features))).alias("x")).select("_key", *keys, "x.*")
+    counts = long.groupBy(*keys, "f", "v").agg(F.count(F.lit(1)).alias("c"))
+    ranks = counts.withColumn("rank", F.sum("c").over(W.partitionBy(*keys, "f").orderBy("v")) - (F.col("c") - 1) / 2)
+    ranked = long.join(ranks, [*keys, "f", "v"]).groupBy(*keys, "_key").pivot("f", features).agg(F.first("rank"))
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    one = ranked.agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.abs(F.corr(a, b)).alias("corr")) for a, b in pairs)).alias("all"))
-    return one.select(F.inline("all"))
+    one = ranked.groupBy(*keys).agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.abs(F.corr(a, b)).alias("corr")) for a, b in pairs)).alias("all"))
+    return one.select(*keys, F.inline("all"))
 
 
 def redundancy(corr: DataFrame, features: list[str], threshold: float = 0.9) -> dict[str, str]:

@@ -218,14 +218,14 @@ def vol_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily(spark, sf_dir).select("symbol", "time", "open", "high", "low", "close").where("symbol like '1%'")
+    return daily(spark, sf_dir).select("symbol", "time", "open", "high", "low", "close")
 
 
 @query(f"""WITH {D1}, s AS (SELECT * FROM bars WHERE symbol LIKE '1%'), l AS (UNPIVOT (SELECT time, open, high, low, close FROM s) ON open, high, low, close INTO NAME f VALUE v),
 r AS (SELECT time, f, rank() OVER (PARTITION BY f ORDER BY v) + (count(*) OVER (PARTITION BY f, v) - 1) / 2 AS k FROM l), n AS (SELECT unnest(['open', 'high', 'low', 'close']) AS f, unnest([0, 1, 2, 3]) AS i)
 SELECT p.f AS a, q.f AS b, round(abs(corr(p.k, q.k)), 6) AS corr FROM r p JOIN r q USING (time) JOIN n np ON np.f = p.f JOIN n nq ON nq.f = q.f WHERE np.i < nq.i GROUP BY ALL""")
 def feature_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return research.correlations(wide(spark, sf_dir), ["open", "high", "low", "close"]).select("a", "b", F.round("corr", 6).alias("corr"))
+    return research.correlations(wide(spark, sf_dir), ["open", "high", "low", "close"], "symbol").select("symbol", "a", "b", F.round("corr", 6).alias("corr"))
 
 
 @query()

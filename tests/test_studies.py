@@ -156,5 +156,18 @@ def test_redundancy_and_pca(spark):
     assert out.count() == 50 and sum(model.stages[-1].explainedVariance) > 0.99
 
 
+def test_correlations_and_latents_are_over_all_symbols(spark):
+    bars = Q.daily(spark, SF).toPandas()
+    want = {}
+    for symbol, g in bars.groupby("symbol"):
+        corr = g[["open", "high", "low", "close"]].corr("spearman").abs()
+        want |= {(symbol, a, b): corr.loc[a, b] for i, a in enumerate(corr) for b in list(corr)[i + 1 :]}
+    got = {(r.symbol, r.a, r.b): r["corr"] for r in S.QUERIES["feature_correlations"](spark, SF).collect()}
+    assert set(got) == set(want) and len({k[0] for k in want}) == 5
+    assert all(abs(got[k] - want[k]) <= 2e-6 for k in want)
+    latents = S.QUERIES["pca_latents"](spark, SF).collect()
+    assert sorted((r.symbol, r.time) for r in latents) == sorted(zip(bars["symbol"], bars["time"], strict=True))
+
+
 def test_entry_has_them():
     assert set(S.QUERIES) <= set(importlib.import_module("__spark_entry__").queries())
