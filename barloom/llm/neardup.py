@@ -214,11 +214,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
         labels = components(links)
 
     more = _cross(posts, labels, docs, words, percent)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    # rows of one id are one document: the classes of an id are linked through its smallest representative
+    least = own.join(classes, "same").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most")
+    same = written(own.join(classes, "same").join(least, "id").where("rep > a").select("a", F.col("rep").alias("b")).distinct())
+    if not more.isEmpty() or not same.isEmpty():
+        labels = components(links.unionByName(more).unionByName(same))
 
-    placed = signed.where("n > 0 and id is not null").join(classes, "same").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
-    # rows of one id are one document: what their classes reach is one component
+    placed = own.join(classes, "same").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
     placed = placed.select("id", "n", F.coalesce("label", "rep").alias("component_id"))
     alone = signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     out = placed.unionByName(alone).withColumnRenamed("n", "n_shingles")

@@ -330,6 +330,17 @@ def test_plan_uses_every_piece():
         assert used == counts
 
 
+def test_op6_classes_of_one_id(spark):
+    import corpus_pipeline
+
+    a, b, other = ("".join(f"{p}{i} " for i in range(40)) for p in "abc")
+    rows = [(1, a, "en", "s", 0), (5, a, "en", "s", 0), (5, b, "en", "s", 0), (9, b, "en", "s", 0), (12, other, "en", "s", 0), (None, b, "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = sorted((r.id, r.component_id, r.kept) for r in neardup.near_duplicates(df).where("id is not null").collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 1, False), (9, 1, False), (12, 12, True)]
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_copies(spark, df, "").collect()) == ["1", "12", "None"]
+
+
 def test_op10(spark):
     cases = [("http://a.net/x", "a.net", "/x", "net/"), ("https://m.Example.NET/en/1?q", "m.example.net", "/en/1", "example.net/en/"), ("http://example.com/de/#x", "example.com", "/de/", "example.com/de/"), ("http://x.org/fr/", "x.org", "/fr/", "org/fr/"), ("http://a.net", "a.net", "", None), (None, "", "", None), ("nothing", "", "", None), ("http://notexample.com/de/", "notexample.com", "/de/", None), ("a://b://c/d", "b:", "//c/d", None), ("http://net?x", "net", "", None), ("http://x/\ny", "x", "/\ny", None)]
     host, path = urls.host_and_path(F.col("url"))
