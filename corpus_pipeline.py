@@ -44,7 +44,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("boilerplate", boilerplate), ("near_copies", near_copies), ("repeats", repeats), ("sequences", sequences)]
 
-#: SQL cannot express language identification, signatures and tokens; tests hold the stages against brute force.
+#: SQL cannot express language identification, signatures and tokens; not every stage is held against brute force yet.
 ORACLE_SQL = None
 
 
