@@ -1,11 +1,16 @@
-"""What the operators share: the shared folder, written tables, word hashes."""
+"""What the operators share: the shared folder, written tables, tasks that leave no memory behind, word hashes."""
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,14 +22,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name in the folder that spark.checkpoint.dir names.
 
-    Only where that setting is absent (a test session) is a local one made.
+    Where that is unset, one on this machine is made, but only for a session that runs in one process. A path
+    without a scheme is completed as Spark does, so that Spark and pyarrow mean one place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.sparkContext.setCheckpointDir(base)
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{base.rstrip('/')}/barloom-{uuid.uuid4().hex}"
 
 
@@ -39,6 +47,30 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that `df` doesn't have."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run` for mapInArrow; afterwards the worker, which waits for its next task, gives back what is free."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return task
+
+
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,13 +85,13 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hashes of all runs of k words, from the words' hashes."""
+def gram_hashes(words: np.ndarray, k: int, mult: np.uint64 = MULT) -> np.ndarray:
+    """64-bit hashes of all runs of k words, from the words' hashes; other odd multipliers give other hashes."""
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out = words[:n].copy()
     for j in range(1, k):
-        out *= MULT
+        out *= mult
         out += words[j : j + n]
     return mix(out)

@@ -127,7 +127,7 @@ def test_op2_shards_are_tar(spark, docs, tmp_path):
 def test_op3(spark):
     rows = [(i, f"boiler\nline {i}\n\n boiler {i % 2}", "en", "a" if i < 30 else None, 0) for i in range(40)] + [(90, None, "en", "a", 0), (None, "boiler\nown", "en", "a", 0), (0, "boiler\nother", "en", "a", 0)]
     df = spark.createDataFrame(rows, DOCS).withColumn("pages", F.lit(1)).withColumn("line", F.lit(1))
-    got = [(r.doc_id, r.text, r._n_dropped) for r in lines.drop_boilerplate(df).collect()]
+    got = [(r.doc_id, r.text, r._n_dropped) for r in lines.drop_boilerplate(df, min_pages=10).collect()]
     want = []
     for i, t, _, s, _ in rows:
         n = sum(x[3] == s for x in rows)
