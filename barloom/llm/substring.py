@@ -1,17 +1,20 @@
 """Substring dedup by relative Lempel-Ziv factors.
 
-The reference is every run of `words` consecutive words (a window), indexed by its first document and
-split by hash into blocks. A document is factored against all blocks: a factor begins at a window that
-an earlier document holds and is extended, window by window, while the index names the same document. Where
-the next window belongs to another document the factor ends and the next one overlaps it, so no duplicate
-window is lost at a factor boundary. Words inside factors are removed.
+The reference is the text of all documents: every run of `words` consecutive words (a window) is indexed by its
+first document and place, in blocks by hash. A document is parsed against every block, greedily from the left: a
+factor begins at a window that an earlier document holds and is extended, window by window, as long as the index
+names the next place of the same document, so that a factor is a passage of its reference. Where the next window's first
+place is elsewhere, the factor ends and the next one begins at that window: the two overlap by `words` - 1
+words, and no duplicate window is lost at a factor boundary. Words inside factors are removed.
 
-Only windows that can match are looked up. The smallest hash among a window's 6-word runs is its anchor: equal
-windows have equal anchors, so a window whose anchor no other document has is in no other document.
+Windows are told apart by 96 bits of hash. Only windows that can match are looked up. The smallest hash among a
+window's 6-word runs is its anchor: equal windows have equal anchors, so a window whose anchor no other document
+has is in no other document.
 
 Edge cases: null and empty texts have no words; texts shorter than a window have no factors. Rows of one id
 are one document: a repeated row isn't earlier than itself. Rows with a null id are neither references nor
-factored. Windows repeated within one document are not duplicates of each other. Extra columns pass through.
+factored. Windows repeated within one document are not duplicates of each other. Extra columns pass through,
+whatever their names; _n_words, _n_removed, _factors and _kept replace columns of those names.
 """
 
 from __future__ import annotations
@@ -24,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gram_hashes, word_hashes
-from .exchange import PACKED, buckets, held_by_others, pack
+from .common import fresh, gram_hashes, tidy, word_hashes
+from .exchange import HIGH, LOW, PACKED, buckets, held_by_others, packing
 
 ANCHOR = 6
-FLUSH = 2_000_000
-FACTORS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("reference", T.LongType())]))
-_FACTOR = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("reference", pa.int64())]))
+#: for the further bits of a window's hash
+CHECK = np.uint64(0xD6E8FEB86659FD93)
+#: a factor's place, length, reference document and place there, in words
+FACTORS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("reference", T.LongType()), T.StructField("at", T.LongType())]))
+_FACTOR = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("reference", pa.int64()), ("at", pa.int64())]))
+OUT = ["_n_words", "_n_removed", "_factors", "_kept"]
 
 
 def split(text: str | None) -> list[bytes]:
@@ -49,82 +55,68 @@ def anchors(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def _packing(keys_of, columns: list[str], n_buckets: int, tell_first: bool):
-    """A mapInArrow function: packed keys of every row that has an id, the first of `columns`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owners, keys, held = [], [], 0
-        for batch in batches:
-            for owner, *rest in zip(*(batch[c].to_pylist() for c in columns), strict=True):
-                found = keys_of(*rest)
-                if owner is None or not len(found):
-                    continue
-                owners.append(np.full(len(found), owner, np.int64))
-                keys.append(found)
-                held += len(found)
-                if held >= FLUSH:
-                    yield from pack(np.concatenate(owners), np.concatenate(keys), n_buckets, tell_first)
-                    owners, keys, held = [], [], 0
-        if held:
-            yield from pack(np.concatenate(owners), np.concatenate(keys), n_buckets, tell_first)
-
-    return run
-
-
-def parse(at: np.ndarray, reference: np.ndarray, words: int) -> list[dict]:
-    """Factors from the places of duplicate windows and the documents that the index names."""
+def parse(at: np.ndarray, reference: np.ndarray, place: np.ndarray, words: int) -> list[dict]:
+    """Factors, from the places of duplicate windows and the documents and places that the index names."""
     if not len(at):
         return []
-    cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (reference[1:] != reference[:-1])])
+    cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (reference[1:] != reference[:-1]) | (place[1:] != place[:-1] + 1)])
     last = np.r_[cut[1:], len(at)] - 1
-    return [{"start": int(at[a]), "n_words": int(at[z] - at[a] + words), "reference": int(reference[a])} for a, z in zip(cut, last, strict=True)]
+    return [{"start": int(at[a]), "n_words": int(at[z] - at[a] + words), "reference": int(reference[a]), "at": int(place[a])} for a, z in zip(cut, last, strict=True)]
 
 
 def factor(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 13) -> DataFrame:
     """`df` with _n_words, _n_removed, _factors and _kept (the words outside factors, joined by a space)."""
     n = buckets(df)
+    keep = [c for c in df.columns if c not in OUT]
+    owner, live_owner, live, dup_owner, dup_keys, dup_tags, dup_firsts = fresh(df, "_owner", "_live_owner", "_live", "_dup_owner", "_dup_keys", "_dup_tags", "_dup_firsts")
     # both joins read all columns, so that Spark sends the texts to their ids once
-    docs = df.withColumn("_owner", F.col(key).cast("long"))
-    first = docs.mapInArrow(_packing(lambda t: np.unique(anchors(word_hashes(split(t)), words)), ["_owner", text], n, True), PACKED)
-    live = held_by_others(first, tell_first=True).select(F.col("owner").alias("_live_owner"), F.col("keys").alias("_live"))
+    docs = df.select(*keep, F.col(key).cast("long").alias(owner))
+    first = docs.mapInArrow(packing(lambda t: np.unique(anchors(word_hashes(split(t)), words)), [owner, text], n, True), PACKED)
+    alive = held_by_others(first, n, tell_first=True).select(F.col("owner").alias(live_owner), F.col("keys").alias(live))
 
-    def windows(t: str | None, live: bytes | None) -> np.ndarray:
+    def windows(t: str | None, live: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         if not live:
-            return np.empty(0, np.uint64)
+            return np.empty(0, np.uint64), np.empty(0, np.uint64)
         hashes = word_hashes(split(t))
-        grams = gram_hashes(hashes, words)
-        return np.unique(grams[np.isin(anchors(hashes, words), np.frombuffer(live, np.uint64))])
+        at = np.flatnonzero(np.isin(anchors(hashes, words), np.frombuffer(live, np.uint64)))
+        return gram_hashes(hashes, words)[at], (gram_hashes(hashes, words, CHECK)[at] >> HIGH << HIGH) | at.astype(np.uint64)
 
-    some = docs.join(live, F.col("_owner") == F.col("_live_owner"), "left")
-    second = some.mapInArrow(_packing(windows, ["_owner", text, "_live"], n, False), PACKED)
-    found = held_by_others(second, tell_first=False).select(F.col("owner").alias("_dup_owner"), F.col("keys").alias("_keys"), F.col("firsts").alias("_firsts"))
-    rows = docs.join(found, F.col("_owner") == F.col("_dup_owner"), "left")
-    keep = df.columns
+    some = docs.join(alive, F.col(owner) == F.col(live_owner), "left")
+    second = some.mapInArrow(packing(windows, [owner, text, live], n, False), PACKED)
+    found = held_by_others(second, n, tell_first=False)
+    found = found.select(*(F.col(a).alias(b) for a, b in zip(("owner", "keys", "tags", "firsts"), (dup_owner, dup_keys, dup_tags, dup_firsts), strict=True)))
+    rows = docs.join(found, F.col(owner) == F.col(dup_owner), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, whole.num_rows, 512):
-                batch = whole.slice(a, 512)
-                out = []
-                for t, keys, firsts in zip(*(batch[c].to_pylist() for c in (text, "_keys", "_firsts")), strict=True):
-                    w = split(t)
-                    if not keys:
-                        out.append((len(w), 0, [], b" ".join(w).decode()))
-                        continue
-                    dup, reference = np.frombuffer(keys, np.uint64), np.frombuffer(firsts, np.int64)
-                    order = np.lexsort((reference, dup))
-                    dup, reference = dup[order], reference[order]
-                    grams = gram_hashes(word_hashes(w), words)
-                    place = np.minimum(np.searchsorted(dup, grams), len(dup) - 1)
-                    at = np.flatnonzero(dup[place] == grams)
-                    factors = parse(at, reference[place[at]], words)
-                    edge = np.zeros(len(w) + 1, np.int64)
-                    for f in factors:
-                        edge[f["start"]] += 1
-                        edge[f["start"] + f["n_words"]] -= 1
-                    gone = np.cumsum(edge)[:-1] > 0
-                    out.append((len(w), int(gone.sum()), factors, b" ".join([x for x, g in zip(w, gone, strict=True) if not g]).decode()))
-                columns = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), _FACTOR, pa.string()), strict=True))], names=[*keep, "_n_words", "_n_removed", "_factors", "_kept"])
-
-    return rows.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_factors", FACTORS), T.StructField("_kept", T.StringType())]))
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+            out = []
+            for t, keys, tags, firsts in zip(*(batch[c].to_pylist() for c in (text, dup_keys, dup_tags, dup_firsts)), strict=True):
+                w = split(t)
+                if not keys:
+                    out.append((len(w), 0, [], b" ".join(w).decode()))
+                    continue
+                dup, tag, reference = np.frombuffer(keys, np.uint64), np.frombuffer(tags, np.uint64), np.frombuffer(firsts, np.int64)
+                order = np.lexsort((tag & LOW, reference, tag >> HIGH, dup))
+                dup, tag, reference = dup[order], tag[order], reference[order]
+                hashes = word_hashes(w)
+                grams, bits = gram_hashes(hashes, words), gram_hashes(hashes, words, CHECK) >> HIGH
+                # of notes with one hash and unequal further bits, which hardly occur, each is tried
+                place, at = np.searchsorted(dup, grams), np.zeros(len(grams), np.int64)
+                hit = np.zeros(len(grams), bool)
+                for step in range(int(np.unique(dup, return_counts=True)[1].max())):
+                    here = np.minimum(place + step, len(dup) - 1)
+                    new = ~hit & (dup[here] == grams) & (tag[here] >> HIGH == bits)
+                    at[new], hit = here[new], hit | new
+                start = np.flatnonzero(hit)
+                factors = parse(start, reference[at[start]], (tag[at[start]] & LOW).astype(np.int64), words)
+                edge = np.zeros(len(w) + 1, np.int64)
+                for f in factors:
+                    edge[f["start"]] += 1
+                    edge[f["start"] + f["n_words"]] -= 1
+                gone = np.cumsum(edge)[:-1] > 0
+                out.append((len(w), int(gone.sum()), factors, b" ".join([x for x, g in zip(w, gone, strict=True) if not g]).decode()))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), _FACTOR, pa.string()), strict=True))], names=[*keep, *OUT])
+
+    types = (T.LongType(), T.LongType(), FACTORS, T.StringType())
+    return rows.mapInArrow(tidy(run), T.StructType([*df.select(keep).schema.fields, *(T.StructField(c, t) for c, t in zip(OUT, types, strict=True))]))
