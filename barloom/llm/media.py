@@ -1,8 +1,9 @@
 """Media columns: content-addressed payloads in tar shards.
 
-A payload is stored once per task as an 8-bit greyscale PNG of width 64, named by its SHA-256, in a tar
-shard in the shared folder. Rows carry digest, shard, offset and length. Metadata columns come from range
-reads of the header alone; the payload is read only where its samples are asked for.
+A payload is stored as an 8-bit greyscale PNG of width 64, named by its SHA-256, in a tar shard in the shared
+folder. Tasks store what they haven't stored yet without waiting for each other; of a digest's places the least is
+the one that all its rows carry: digest, shard, offset and length. `headers` fills metadata columns by range reads
+of the header alone; `read_back` reads the payloads' samples, in tasks of about equal bytes of payload.
 
 Edge cases: a null payload counts as empty; an empty one is padded to 64 zero bytes. Equal payloads have
 one stored form and equal values. An empty table writes no shard. Extra columns are left out of the rows.
@@ -22,13 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import shared_dir, tasks, tidy, written
 
 WIDTH = 64
 HEADER = 33  # signature and IHDR chunk
 SHARD_BYTES = 64 << 20
-MEMO_ROWS = 20_000
+#: bytes of stored payloads for a task that reads them; parts of a digest that many rows share
+TASK_BYTES, SALTS = 32 << 20, 64
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -79,7 +82,7 @@ def store(df: DataFrame, key: Column, payload: Column, root: str | None = None)
         system, base = fs.FileSystem.from_uri(root)
         system.create_dir(base, recursive=True)
         out, shard, at, places = None, "", 0, {}
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             rows = []
             for key, text in zip(batch["id"].to_pylist(), batch["payload"].to_pylist(), strict=True):
                 raw = (text or "").encode()
@@ -105,39 +108,76 @@ def store(df: DataFrame, key: Column, payload: Column, root: str | None = None)
             out.write(bytes(1024))
             out.close()
 
-    return written(df.select(key.cast("long").alias("id"), payload.cast("string").alias("payload")).mapInArrow(run, STORED))
+    rows = written(df.select(key.cast("long").alias("id"), payload.cast("string").alias("payload")).mapInArrow(tidy(run), STORED))
+    place = F.struct("shard", "offset", "length")
+    copied = rows.groupBy("digest").agg(F.min(place).alias("place"), F.max(place).alias("last")).where("place <> last").drop("last")
+    copied = copied.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    one = rows.withColumn("salt", F.pmod(F.xxhash64("id", "shard"), F.lit(SALTS)).cast("int")).join(copied, ["digest", "salt"], "left")
+    return one.select("id", "n_bytes", "digest", *(F.coalesce(F.col("place")[c], F.col(c)).alias(c) for c in ("shard", "offset", "length")))
 
 
 READ = "id long, n_bytes long, digest string, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def in_tasks(df: DataFrame, *place: str) -> DataFrame:
+    """Rows that point into files by `place`, dealt by it and then by id, so that a task reads about TASK_BYTES, in order."""
+    df = written(df)
+    n = (df.agg(F.sum("length").alias("n")).first()["n"] or 0) // TASK_BYTES + 1
+    return df.repartitionByRange(max(n, tasks(df.sparkSession)), *place, "id").sortWithinPartitions(*place)
+
+
+class Files:
+    """The file that was read last, open for range reads."""
+
+    def __init__(self):
+        self.name, self.file = None, None
+
+    def read(self, name: str, offset: int, length: int) -> bytes:
+        if self.name != name:
+            self.close()
+            system, path = fs.FileSystem.from_uri(name)
+            self.name, self.file = name, system.open_input_file(path)
+        return bytes(self.file.read_at(length, offset))
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
+def headers(stored: DataFrame) -> DataFrame:
+    """`stored` with width and height, from the first bytes of each payload; nothing else is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, last, size = Files(), None, (0, 0)
+        for batch in batches:
+            found = []
+            for at in zip(batch["shard"].to_pylist(), batch["offset"].to_pylist(), strict=True):
+                if at != last:
+                    last, size = at, png_size(files.read(*at, HEADER))
+                found.append(size)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in found], pa.int32()) for i in (0, 1))], names=[*batch.schema.names, "width", "height"])
+        files.close()
+
+    return stored.mapInArrow(tidy(run), f"{STORED}, width int, height int")
+
+
 def read_back(stored: DataFrame) -> DataFrame:
-    """Metadata from header-only range reads, then the samples' digests and features from range reads of the payloads."""
+    """Digests and features of the samples, from range reads of the whole payloads; equal places are read once in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened, memo = ("", None), {}
+        files, last, values = Files(), None, ()
         names = [x.split()[0] for x in READ.split(", ")]
         kinds = [{"long": pa.int64(), "string": pa.string(), "int": pa.int32()}[x.split()[1]] for x in READ.split(", ")]
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                if not (values := memo.get((r["shard"], r["offset"]))):
-                    if opened[0] != r["shard"]:
-                        if opened[1] is not None:
-                            opened[1].close()
-                        system, path = fs.FileSystem.from_uri(r["shard"])
-                        opened = (r["shard"], system.open_input_file(path))
-                    width, height = png_size(opened[1].read_at(HEADER, r["offset"]))
-                    data = bytes(opened[1].read_at(r["length"], r["offset"]))
+                if (at := (r["shard"], r["offset"], r["length"])) != last:
+                    data = files.read(*at)
                     body = from_png(data)
-                    values = (width, height, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(data), hashlib.sha256(data).hexdigest(), features(body))
-                    if len(memo) >= MEMO_ROWS:
-                        memo.clear()
-                    memo[r["shard"], r["offset"]] = values
+                    last, values = at, (*png_size(data), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(data), hashlib.sha256(data).hexdigest(), features(body))
                 rows.append((r["id"], r["n_bytes"], r["digest"], *values))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-        if opened[1] is not None:
-            opened[1].close()
+        files.close()
 
-    return stored.mapInArrow(run, READ)
+    return in_tasks(stored, "shard", "offset").mapInArrow(tidy(run), READ)
