@@ -34,7 +34,7 @@ from .components import components
 from .exchange import PACKED, buckets, held_by_others, notes, packing
 
 #: hub rounds at most; members of a list that is joined with itself; texts of a block
-ROUNDS, SHORT, BLOCK = 4, 64, 128
+ROUNDS, SHORT, BLOCK = 2, 64, 128
 SIGNED = "id long, n long, same binary, sig array<long>"
 
 
@@ -234,7 +234,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     placed = own.join(classes, "same").select("id", "rep", "n")
     least = placed.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most")
     links = written(placed.join(least, "id").where("rep > a").select("a", F.col("rep").alias("b")).distinct())
-    labels, met = components(links), None
+    empty = placed.select("id", F.col("rep").alias("label")).limit(0)
+    labels, met = empty if links.isEmpty() else components(links), None
     for turn in range(ROUNDS + 1):
         known = written(_mixed(posts, labels))
         many = known.where(F.col("size") > SHORT)
