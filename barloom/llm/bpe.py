@@ -22,7 +22,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-MEMO_CHUNKS = 400_000
+from .common import tidy
+
+MEMO_CHUNKS = 100_000  # about 20 MB
 #: above every rank
 NO_RANK = 1 << 62
 #: Unicode's White_Space, as the pattern's \s has it (fixed values)
@@ -119,7 +121,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                 values = np.frombuffer(b"".join(found), np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=[*keep, ids])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -144,4 +146,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
                 found = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.tobytes()), joined.buffers()[2] or pa.py_buffer(b"")])
                 yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*keep, decoded])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(decoded, T.BinaryType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(decoded, T.BinaryType())]))

@@ -6,8 +6,8 @@ text's is the product over its words. Piece probabilities are fitted by expectat
 same sum, on a bounded sample of labelled rows.
 
 Rows and edge cases: a null text, an empty text or one without a letter gives `und` and score 0. Repeated
-rows give repeated results. Very long texts are scored whole; very long words are rescaled as they are
-summed. An empty table gives no rows. Without labelled rows everything is `und`. Columns other than the
+rows give repeated results. Very long texts are scored whole; very long words are summed in
+logarithms. An empty table gives no rows. Without labelled rows everything is `und`. Columns other than the
 text (and, for fitting, the label) are never looked at, so clashing extra columns are harmless.
 """
 
@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, mix
+from .common import MULT, mix, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 #: log probability of a UTF-8 byte that no piece covers, alike in every language
 LOG_BYTE = -12.0
-MEMO_WORDS = 200_000
-#: texts scored together, cells of one array of partial sums, letters above which a word is summed with rescaling
-SLICE_TEXTS, BLOCK_CELLS, LONG_WORD = 64, 2_000_000, 24
-#: a sum below this is taken again with rescaling
+MEMO_WORDS = 60_000  # about 10 MB
+#: texts scored together, cells of one array of partial sums, letters above which a word is summed in logarithms
+SLICE_TEXTS, BLOCK_CELLS, LONG_WORD = 64, 400_000, 24
+#: a sum below this is taken again in logarithms
 LEAST = 1e-280
 
 
@@ -46,12 +46,37 @@ def vocabulary(path: str) -> list[str]:
     return sorted(p for p in pieces if p.strip("▁").isalpha())
 
 
+@dataclass(frozen=True)
+class Arrays:
+    """A model for tasks: hashes of the pieces and, by piece and language, their probabilities."""
+
+    languages: tuple[str, ...]
+    keys: np.ndarray
+    p: np.ndarray
+    longest: int
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
     pieces: dict[str, tuple[float, ...]]  # probability by language
     longest: int
 
+    def arrays(self) -> Arrays:
+        p = np.array(list(self.pieces.values()), np.float64).reshape(len(self.pieces), len(self.languages))
+        return Arrays(self.languages, piece_keys(list(self.pieces)), p, self.longest)
+
+
+def piece_keys(pieces: list[str]) -> np.ndarray:
+    """64-bit hashes of the pieces' characters, as `Scorer.pieces_in` makes them."""
+    mult, out = int(MULT), []
+    for piece in pieces:
+        h = 0
+        for c in piece:
+            h = (h * mult + ord(c) + 1) % (1 << 64)
+        out.append(h)
+    return mix(np.array(out, np.uint64))
+
 
 def letters(word: str) -> str:
     return "".join(c for c in word if unicodedata.category(c)[0] == "L")
@@ -69,7 +94,7 @@ def _matches(word: str, i: int, pieces: dict, longest: int, none: tuple) -> Iter
 
 
 def log_likelihood(word: str, model: Model) -> tuple[float, ...]:
-    """Log of the sum over all segmentations of `word`, by language."""
+    """Log of the sum over all segmentations of `word`, by language: one word at a time, as `Scorer` does for many."""
     word = "▁" + word
     k, n = len(model.languages), len(word)
     ahead: dict[int, list[float]] = {0: [1.0] * k}
@@ -88,75 +113,55 @@ def log_likelihood(word: str, model: Model) -> tuple[float, ...]:
     return tuple(s + math.log(a) for s, a in zip(shift, ahead[n], strict=True))
 
 
-def expected_pieces(word: str, pieces: dict[str, tuple[float, ...]], longest: int) -> dict[str, float]:
-    """Posterior expected count of each piece in `word` (one language: tuples of one)."""
-    word = "▁" + word
-    n = len(word)
-    edges = [[(j, p[0]) for j, p in _matches(word, i, pieces, longest, (0,))] for i in range(n)]
-    scale, alpha, beta = [1.0] * (n + 1), [0.0] * (n + 1), [0.0] * (n + 1)
-    alpha[0] = beta[n] = 1.0
-    for i in range(n):
-        for j, p in edges[i]:
-            alpha[j] += alpha[i] * p
-    for i in range(n - 1, -1, -1):
-        beta[i] = sum(p * beta[j] for j, p in edges[i])
-    out: dict[str, float] = defaultdict(float)
-    if not (total := alpha[n] * scale[n]):
-        return out
-    for i in range(n):
-        for j, p in edges[i]:
-            if word[i:j] in pieces:
-                out[word[i:j]] += alpha[i] * p * beta[j] / total
-    return out
-
-
-def fit(df: DataFrame, vocab: list[str], text: str = "text", lang: str = "lang", key: Column | None = None, docs_per_language: int = 1000, max_languages: int = 200, rounds: int = 2, smoothing: float = 0.5, longest_word: int = 40) -> Model:
-    """Fit on a bounded sample: about `docs_per_language` rows of each of the `max_languages` commonest labels.
+def fit(df: DataFrame, vocab: list[str], text: str = "text", lang: str = "lang", key: Column | None = None, docs_per_language: int = 1000, rounds: int = 2, smoothing: float = 0.5) -> Model:
+    """Fit on a bounded sample: about `docs_per_language` rows of each label.
 
-    Rows are chosen by a hash of `key`, so the sample doesn't depend on partitioning. Words over
-    `longest_word` letters teach nothing here (they are scored like others).
+    Rows are chosen by a hash of `key`, so the sample doesn't depend on partitioning. Words of any length teach.
     """
     spark = df.sparkSession
     df = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"), (key if key is not None else F.xxhash64(text)).alias("key")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in df.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    sizes = {r["lang"]: r["count"] for r in df.groupBy("lang").count().collect()}  # one row for each label
     if not sizes:
         return Model((), {}, 1)
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, float(docs_per_language) / n)]), F.col("lang"))
-    sample = df.where(F.col("lang").isin(list(sizes)) & (F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20)))
+    sample = df.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
             for code, t in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                found.update((code, w) for x in WORD.findall(t.lower()) if len(w := letters(x)) <= longest_word and w)
+                found.update((code, w) for x in WORD.findall(t.lower()) if (w := letters(x)))
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in found], pa.string()), "word": pa.array([k[1] for k in found], pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
-    words = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).checkpoint()
+    words = sample.mapInArrow(tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).checkpoint()
     languages = tuple(sorted(r["lang"] for r in words.select("lang").distinct().collect()))
-    longest = max(map(len, vocab))
-    flat = 1.0 / len(vocab)
-    by_lang = {code: {p: (flat,) for p in vocab} for code in languages}
+    longest, keys = max(map(len, vocab)), piece_keys(vocab)
+    p = np.full((len(vocab), len(languages)), 1.0 / len(vocab))
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(by_lang)
+        sent = spark.sparkContext.broadcast(Arrays(languages, keys, p, longest))
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            total: dict[tuple[str, str], float] = defaultdict(float)
+            scorer = Scorer(sent.value)
+            total = np.zeros((len(keys), len(languages)))
             for batch in batches:
+                by_lang: dict[str, list[tuple[str, int]]] = defaultdict(list)
                 for code, w, n in zip(*(batch[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
-                    for p, x in expected_pieces(w, sent.value[code], longest).items():
-                        total[code, p] += x * n
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in total], pa.string()), "piece": pa.array([k[1] for k in total], pa.string()), "x": pa.array(list(total.values()), pa.float64())})
+                    by_lang[code].append((w, n))
+                for code, rows in by_lang.items():
+                    at = languages.index(code)
+                    for a in range(0, len(rows), scorer.block):
+                        part = rows[a : a + scorer.block]
+                        total[:, at] += scorer.expected([w for w, _ in part], np.array([n for _, n in part], np.float64), at)
+            piece, at = np.nonzero(total)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(at, pa.int32()), "piece": pa.array(piece, pa.int32()), "x": pa.array(total[piece, at])})
 
         # at most one row for each piece of the fixed vocabulary and language
-        got: dict[str, dict[str, float]] = {code: {} for code in languages}
-        for r in words.mapInArrow(expect, "lang string, piece string, x double").groupBy("lang", "piece").agg(F.round(F.sum("x"), 6).alias("x")).collect():
-            got[r["lang"]][r["piece"]] = r["x"]
-        by_lang = {}
-        for code in languages:
-            total = sum(got[code].values()) + smoothing * len(vocab)
-            by_lang[code] = {p: ((got[code].get(p, 0.0) + smoothing) / total,) for p in vocab}
-        sent.unpersist()
-    return Model(languages, {p: tuple(by_lang[code][p][0] for code in languages) for p in vocab}, longest)
+        got = words.mapInArrow(tidy(expect), "lang int, piece int, x double").groupBy("lang", "piece").agg(F.round(F.sum("x"), 6).alias("x")).toArrow()
+        p = np.full((len(vocab), len(languages)), smoothing)
+        p[got["piece"].to_numpy(), got["lang"].to_numpy()] += got["x"].to_numpy()
+        p /= p.sum(axis=0)
+        sent.destroy()
+    return Model(languages, dict(zip(vocab, map(tuple, p.tolist()), strict=True)), longest)
 
 
 class Scorer:
@@ -165,26 +170,19 @@ class Scorer:
     Pieces are found by 64-bit hashes of the characters from each start on.
     """
 
-    def __init__(self, model: Model):
-        self.model, k = model, len(model.languages)
+    def __init__(self, model: Model | Arrays):
+        self.model = model = model.arrays() if isinstance(model, Model) else model
+        k = len(model.languages)
         # after the pieces: an uncovered character of 1, 2, 3 or 4 bytes, and the word mark
         rest = [[math.exp(LOG_BYTE * n)] * k for n in (1, 2, 3, 4)] + [[1.0] * k]
-        self.p = np.array([*model.pieces.values(), *rest]).reshape(len(model.pieces) + 5, k)
-        keys = np.array([self.key(p) for p in model.pieces], np.uint64)
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
+        self.p = np.concatenate([model.p, np.array(rest).reshape(5, k)])
+        self.order = np.argsort(model.keys)
+        self.keys = model.keys[self.order]
         self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[keys >> np.uint64(44)] = True
+        self.maybe[self.keys >> np.uint64(44)] = True
         self.block = max(256, BLOCK_CELLS // ((LONG_WORD + 2) * max(k, 1)))
         self.forget()
 
-    @staticmethod
-    def key(piece: str) -> int:
-        h = 0
-        for c in piece:
-            h = (h * int(MULT) + ord(c) + 1) % (1 << 64)
-        return int(mix(np.array([h], np.uint64))[0])
-
     def forget(self, room: int = 0) -> None:
         self.at: dict[str, int] = {}
         self.table = np.zeros((max(MEMO_WORDS, room) + 1, len(self.model.languages)))  # row 0: words without a letter
@@ -213,27 +211,65 @@ class Scorer:
                 found.append((live[some[hit]], n, self.order[at[hit]]))
         flat = np.concatenate([f for f, _, _ in found])
         end = start[flat] + np.concatenate([np.full(len(f), n) for f, n, _ in found])
-        by = np.argsort(start[flat] * (LONG_WORD + 2) + end, kind="stable")
+        by = np.argsort(start[flat] * (int(size.max(initial=0)) + 1) + end, kind="stable")
         return tuple(x[by] for x in (word[flat], start[flat], end, np.concatenate([r for _, _, r in found])))
 
-    def forward(self, words: list[str]) -> np.ndarray:
-        """By word and language."""
-        marked = ["▁" + w if len(w) <= LONG_WORD else "▁" for w in words]
+    def _forward(self, marked: list[str], p: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
+        """Partial sums by place, word and column of `p`; the pieces, one place after the other; and their words."""
         word, start, stop, row = self.pieces_in(marked)
-        ahead = np.zeros((LONG_WORD + 2, len(words), len(self.model.languages)))
+        ahead = np.zeros((LONG_WORD + 2, len(marked), p.shape[1]))
         ahead[0] = 1.0
-        p = self.p[row]
         cuts = np.flatnonzero((np.diff(start) != 0) | (np.diff(stop) != 0)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True):
-            who = word[a:b]
-            ahead[stop[a]][who] += ahead[start[a]][who] * p[a:b]
-        end = ahead[np.fromiter(map(len, marked), np.int64), np.arange(len(words))]
-        scaled = (end < LEAST).any(axis=1) | np.fromiter((len(w) > LONG_WORD for w in words), bool)
+        steps = [(int(start[a]), int(stop[a]), word[a:b], row[a:b]) for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+        for a, b, who, rows in steps:
+            ahead[b][who] += ahead[a][who] * p[rows]
+        return ahead, steps, ahead[np.fromiter(map(len, marked), np.int64), np.arange(len(marked))]
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        """By word and language."""
+        if not words:
+            return np.zeros((0, len(self.model.languages)))
+        end = self._forward(["▁" + w if len(w) <= LONG_WORD else "▁" for w in words], self.p)[2]
+        small = (end < LEAST).any(axis=1) | np.fromiter((len(w) > LONG_WORD for w in words), bool)
         out = np.log(np.maximum(end, LEAST))
-        for a in np.flatnonzero(scaled):
-            out[a] = log_likelihood(words[a], self.model)
+        log_p = np.log(self.p) if small.any() else None
+        for at in np.flatnonzero(small):
+            ahead = np.full((len(words[at]) + 2, len(self.model.languages)), -np.inf)
+            ahead[0] = 0.0
+            for a, b, row in zip(*(x.tolist() for x in self.pieces_in(["▁" + words[at]])[1:]), strict=True):
+                ahead[b] = np.logaddexp(ahead[b], ahead[a] + log_p[row])
+            out[at] = ahead[-1]
         return out
 
+    def expected(self, words: list[str], often: np.ndarray, language: int) -> np.ndarray:
+        """Posterior expected count of each piece in the words, each met `often` times, in one language."""
+        out = np.zeros(len(self.p))
+        p = self.p[:, language : language + 1]
+        marked = ["▁" + w if len(w) <= LONG_WORD else "▁" for w in words]
+        ahead, steps, end = self._forward(marked, p)
+        small = (end[:, 0] < LEAST) | np.fromiter((len(w) > LONG_WORD for w in words), bool)
+        weight = np.where(small, 0.0, often / np.where(small, 1.0, end[:, 0]))
+        behind = np.zeros(ahead.shape[:2])
+        behind[np.fromiter(map(len, marked), np.int64), np.arange(len(words))] = weight
+        found = []
+        for a, b, who, rows in sorted(steps, key=lambda s: -s[0]):
+            through = p[rows, 0] * behind[b][who]
+            found.append((rows, ahead[a][who, 0] * through))
+            behind[a][who] += through
+        out += np.bincount(np.concatenate([r for r, _ in found]), np.concatenate([x for _, x in found]), len(out))
+        for at in np.flatnonzero(small):  # in logarithms
+            arcs = list(zip(*(x.tolist() for x in self.pieces_in(["▁" + words[at]])[1:]), strict=True))
+            n = len(words[at]) + 1
+            ahead_log, behind_log = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+            ahead_log[0] = behind_log[n] = 0.0
+            for a, b, row in arcs:
+                ahead_log[b] = np.logaddexp(ahead_log[b], ahead_log[a] + math.log(p[row, 0]))
+            for a, b, row in reversed(arcs):
+                behind_log[a] = np.logaddexp(behind_log[a], behind_log[b] + math.log(p[row, 0]))
+            for a, b, row in arcs:
+                out[row] += often[at] * math.exp(ahead_log[a] + math.log(p[row, 0]) + behind_log[b] - ahead_log[n])
+        return out[: len(self.keys)]
+
     def learn(self, found: set[str]) -> None:
         """Room in the memo for all of `found`; where it would pass its bound it starts anew."""
         new = found.difference(self.at)
@@ -262,7 +298,7 @@ class Scorer:
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`df` with lang_pred and score (the winner's posterior under equal priors); ties go to the smaller code."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = df.sparkSession.sparkContext.broadcast(model.arrays())
     keep = [c for c in df.columns if c not in ("lang_pred", "score")]
     df = df.select(keep)
 
@@ -285,4 +321,4 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .bpe import Encoder
-from .common import written
+from .common import tidy, written
 
 SALTS = 64
 
@@ -36,24 +36,27 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def json_encoder(path: str, ranks_path: str, pattern: str):
+def special_strings(path: str) -> list[str]:
+    return [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
+
+
+def json_encoder(path: str, ranks_path: str, pattern: str, special: list[str]):
     """Text to packed 32-bit ids, as the tokenizer's file has it; texts with a special token's string go to it whole.
 
-    Chunks are encoded by the same vocabulary's rank file, which is several times as fast; the tests hold both against each other.
+    Chunks are encoded by the same vocabulary's rank file, which is several times as fast; the tests hold both against
+    each other. A task loads the tokenizer itself only when it meets one of the `special` strings.
     """
     import tiktoken
 
     from .bpe import load_ranks
 
-    whole = tokenizer(path)
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
     fast = Encoder(tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={}).encode_ordinary)
 
     def encode(text: str | None) -> bytes:
         if text and any(s in text for s in special):
             import numpy as np
 
-            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return fast(text)
 
     return encode
@@ -68,7 +71,7 @@ def pieces(df: DataFrame, encoder, key: str = "doc_id", text: str = "text", capa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
-        for batch in batches:
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             out = []
             for key, t in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids = encode(t) + end_bytes
@@ -78,7 +81,7 @@ def pieces(df: DataFrame, encoder, key: str = "doc_id", text: str = "text", capa
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
+    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(tidy(run), PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache, partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PACK_JSON = public_tokenizers.path("byte_bpe_50k.json")
 PACK_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-MIN_PAGES = 3  # a floor against chance only, as one copied page repeats its lines; the ratio decides
+MIN_PAGES = 3
 RULES = [urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/")]
 
 
@@ -63,12 +65,21 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.col("_kept"), 256).alias("kept_sha256"))
 
 
-def json_encoder():
-    return packing.json_encoder(PACK_JSON, PACK_RANKS, public_tokenizers.PATTERN)
+@lru_cache(1)
+def special_strings() -> list[str]:
+    return packing.special_strings(PACK_JSON)
+
+
+def json_encoder(special: list[str] | None = None):
+    return packing.json_encoder(PACK_JSON, PACK_RANKS, public_tokenizers.PATTERN, special_strings() if special is None else special)
+
+
+def pack_pieces(docs: DataFrame) -> DataFrame:
+    return packing.pieces(docs, partial(json_encoder, special_strings()))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = packing.pieces(read(spark, sf_dir, "documents").select("doc_id", "text"), json_encoder)
+    parts = pack_pieces(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return packing.pack(parts).withColumnRenamed("id", "doc_id")
 
 
@@ -86,7 +97,7 @@ OP3_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS site, string_split(text, chr(10)) AS ls FROM documents),
 t AS (SELECT site, count(*) AS all_pages FROM d GROUP BY site),
 p AS (SELECT doc_id, site, unnest(list_distinct(list_filter(ls, lambda x: length(trim(x, ' ')) > 0))) AS line FROM d),
-b AS (SELECT p.site, line FROM p JOIN t USING (site) GROUP BY p.site, line HAVING count(*) >= 10 AND count(*) > 0.05 * any_value(all_pages)),
+b AS (SELECT p.site, line FROM p JOIN t USING (site) GROUP BY p.site, line HAVING count(*) >= 3 AND count(*) > 0.05 * any_value(all_pages)),
 g AS (SELECT site, list(line) AS gone FROM b GROUP BY site),
 k AS (SELECT doc_id, ls, list_filter(ls, lambda x: length(trim(x, ' ')) = 0 OR NOT list_contains(coalesce(gone, []), x)) AS kept FROM d LEFT JOIN g USING (site))
 SELECT doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(len(ls) - len(kept), 0) AS n_dropped, sha256(array_to_string(kept, chr(10))) AS text_sha256 FROM k
