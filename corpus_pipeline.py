@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import langid, lines, neardup, packing, substring
 from barloom.llm.common import read, written
-from barloom.llm.queries import MIN_PAGES, PIECES, json_encoder
+from barloom.llm.queries import MIN_PAGES, PIECES, pack_pieces
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -39,7 +39,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(docs, json_encoder)).withColumnRenamed("id", "doc_id")
+    return packing.pack(pack_pieces(docs)).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("language", language), ("boilerplate", boilerplate), ("near_copies", near_copies), ("repeats", repeats), ("sequences", sequences)]
