@@ -26,7 +26,7 @@ def ema_alpha(n: int) -> float:
     return 2.0 / (n + 1)
 
 
-TRADES = "symbol string, action string, quantity double, entry_time timestamp, entry_price double, exit_time timestamp, exit_price double, pnl double, exit_reason string"
+TRADES = "symbol string, action string, quantity double, entry_time timestamp, entry_price double, exit_time timestamp, exit_price double, pnl double, exit_reason string, commission double"
 
 
 def backtest(bars: DataFrame, quantity: float = 1.0, stop_pct: float | None = None, target_pct: float | None = None, trailing_pct: float | None = None, max_bars: int | None = None, by: tuple[str, ...] = ("symbol",)) -> DataFrame:

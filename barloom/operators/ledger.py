@@ -69,9 +69,9 @@ def positions(fills: DataFrame, point_value: int = 1) -> DataFrame:
 
 
 def ledger(after: DataFrame, start: Column, fee: Column) -> DataFrame:
-    """Entries (account, fill_id, kind, amount, balance_after); both entries of a fill carry the balance after it."""
+    """Entries (account, fill_id, kind, amount, balance_after), none of zero; both entries of a fill carry the balance after it."""
     w = W.partitionBy("account").orderBy("time", "fill_id").rowsBetween(W.unboundedPreceding, 0)
     net = F.col("realised") - fee.cast(MONEY)
     rows = after.withColumn("balance_after", (start.cast(MONEY) + F.sum(net).over(w)).cast(MONEY))
     kinds = F.array(F.struct(F.lit("realised_pnl").alias("kind"), F.col("realised").alias("amount")), F.struct(F.lit("fee").alias("kind"), (-fee).cast(MONEY).alias("amount")))
-    return rows.select("account", "fill_id", "time", F.inline(kinds), "balance_after")
+    return rows.select("account", "fill_id", "time", F.inline(kinds), "balance_after").where("amount <> 0")

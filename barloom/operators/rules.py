@@ -9,17 +9,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .folds import TRADES
 
 NAMES = [x.split()[0] for x in TRADES.split(", ")]
 
 
+def trade_fields() -> list[T.StructField]:
+    kinds = {"string": T.StringType(), "double": T.DoubleType(), "timestamp": T.TimestampType()}
+    return [T.StructField(n, kinds[k]) for n, k in map(str.split, TRADES.split(", "))]
+
+
 @dataclass
 class Trade:
     side: int
@@ -104,11 +111,15 @@ def _peak(t: Trade, b: Seen, rule: str) -> float:
     return top
 
 
-#: Named bundles of rules.
+#: Named bundles of rules (fixed values); the atr of those that use one is over 14 bars.
 PRESETS = {
-    "none": Exits(), "fixed": Exits(stop_loss_pct=0.02, take_profit_pct=0.04), "atr": Exits(stop_loss_atr=2.0, take_profit_atr=3.0),
-    "trailing": Exits(trailing_stop_pct=0.03), "chandelier": Exits(chandelier_atr_mult=3.0), "time": Exits(max_bars_in_trade=20),
-}
+    "atr_stop_chandelier": Exits(stop_loss_atr=2.0, chandelier_atr_mult=3.0),
+    "breakeven_time_stop": Exits(breakeven_trigger_pct=0.02, breakeven_offset_pct=0.001, max_bars_in_trade=50),
+    "fixed_pct_bracket": Exits(stop_loss_pct=0.02, take_profit_pct=0.05),
+    "parabolic_sar_trail": Exits(psar_af_start=0.02, psar_af_step=0.02, psar_af_max=0.2),
+    "donchian_channel_trail": Exits(donchian_exit_period=20),
+    "ratchet_target_atr_stop": Exits(target_ratchet_atr=2.0, stop_loss_atr=2.0),
+}
 
 
 # position sizes: (capital, price, volatility, strength) -> quantity
@@ -126,13 +137,13 @@ def safety_margin(margin: float, least: int = 0, most: int = 0) -> Callable[...,
     return size
 
 
-def inverse_volatility(target: float, point_value: float = 1.0, least: int = 0, most: int = 0) -> Callable[..., float]:
-    """A quantity whose volatility is `target` of the capital; none without a volatility."""
+def inverse_volatility(target_pct: float, point_value: float = 1.0, least: int = 0, most: int = 0) -> Callable[..., float]:
+    """A quantity whose annual volatility is `target_pct` percent of the capital; none without a volatility or capital."""
 
     def size(capital: float, price: float, vol: float, strength: float = 1.0) -> float:
-        if not vol or not np.isfinite(vol) or vol <= 0 or price <= 0:
+        if not vol or not np.isfinite(vol) or vol <= 0 or price <= 0 or capital <= 0:
             return 0.0
-        n = int(np.floor(target * capital / (vol * price * point_value)))
+        n = int(np.floor(target_pct / 100 * capital / (vol * price * point_value)))
         return float(max(min(n, most) if most > 0 else n, least))
 
     return size
@@ -150,15 +161,21 @@ class Costs:
 def replay(
     bars: DataFrame, exits: Exits = Exits(), size: Callable[..., float] | None = None, max_position: float = 1.0, capital: float = 100_000.0,
     costs: Costs = Costs(), point_value: float = 1.0, by: tuple[str, ...] = ("symbol",), day_minutes: tuple[int, int, int] | None = None,
+    trade_start: datetime | None = None, force_close: bool = False,
 ) -> DataFrame:
-    """Trades from bars with boolean `buy` and `sell`, and `atr` and `vol` where rules or sizes need them.
-
-    A closed bar's decision is filled at the next bar's open, exits before entries. Open quantity stays within
-    `max_position`; the rest of an order is dropped. Realised profit, less both sides' costs, adds to the capital.
-    Trades still open at the end aren't returned. With `day_minutes` (first entry, last entry, forced close) every day
-    is a group of its own that starts with the capital and ends flat.
+    """Trades from bars with boolean `buy` and `sell`, and `atr` and `vol` where rules or sizes need them; other keys of `by` come along.
+
+    A closed bar's decision is filled at the next bar's open, exits before entries. An exit closes every open trade of the
+    series: by the reason of the first trade whose rule fires, or else by the opposite signal (`exit_long` and `exit_short` where
+    the bars have them). Sizes see the volatility and strength of the bar that fills. Open quantity stays within
+    `max_position`; the rest of an order is dropped. Realised profit, less both sides' costs, adds to the capital. Bars before
+    `trade_start` only warm up. Trades still open at the end are closed at the last close with `force_close` and
+    aren't returned without. With `day_minutes` (first entry, last entry, forced close) every day is a group of its own
+    that starts with the capital and ends flat.
     """
     size = size or fixed_quantity(1.0)
+    keys = [f for f in bars.schema.fields if f.name in by and f.name != "symbol"]
+    schema = T.StructType([*keys, *trade_fields()])
     if day_minutes:
         bars, by = bars.withColumn("_date", F.to_date("time")), (*by, "_date")
 
@@ -170,46 +187,50 @@ def replay(
         none = pd.Series(np.nan, pdf.index)
         atr, vol = pdf.get("atr", none), pdf.get("vol", none)
         strength = pdf.get("strength", pd.Series(1.0, pdf.index))
-        money, live, leaving, entering, out = capital, [], [], 0, []
+        leave = {1: pdf.get("exit_long", pdf["sell"]), -1: pdf.get("exit_short", pdf["buy"])}
+        key = [pdf[f.name].iloc[0] for f in keys]
+        money, live, leaving, entering, out = capital, [], "", 0, []
 
-        def close(t: Trade, time, price: float, why: str) -> None:
-            nonlocal money
-            entry = t.entry * t.side
-            pnl = (price - entry) * t.side * t.quantity * point_value - costs.side(entry, t.quantity, point_value) - costs.side(price, t.quantity, point_value)
-            money += pnl
-            out.append((pdf["symbol"].iloc[0], "BUY" if t.side > 0 else "SELL", t.quantity, t.time, entry, time, price, pnl, why))
+        def close(time, price: float, why: str) -> None:
+            nonlocal money, live
+            for t in live:
+                entry = t.entry * t.side
+                paid = costs.side(entry, t.quantity, point_value) + costs.side(price, t.quantity, point_value)
+                pnl = (price - entry) * t.side * t.quantity * point_value - paid
+                money += pnl
+                out.append((*key, pdf["symbol"].iloc[0], "BUY" if t.side > 0 else "SELL", t.quantity, t.time, entry, time, price, pnl, why, paid))
+            live = []
+
+        def reason(i: int, h: float, l: float) -> str:
+            found = []
+            for t in live:  # every trade's rules see the bar
+                t.held += 1
+                seen = Seen(h, l, atr[i], low_edge[i]) if t.side > 0 else Seen(-l, -h, atr[i], -high_edge[i])
+                found.append(next((name for name, rule in rules if rule(t, seen)), ""))
+            return next(filter(None, found), "") or ("SIGNAL" if exits.opposite_signal and any(leave[t.side][i] for t in live) else "")
 
         for i, (time, o, h, l, c) in enumerate(zip(pdf["time"], pdf["open"], pdf["high"], pdf["low"], pdf["close"], strict=True)):
+            if trade_start is not None and time < pd.Timestamp(trade_start):
+                continue
             at = time.hour * 60 + time.minute
             if day_minutes and at >= day_minutes[2]:
-                for t in live:
-                    close(t, time, o, "end_of_day")
-                live, leaving, entering = [], [], 0
+                close(time, o, "END_OF_DAY")
+                leaving, entering = "", 0
                 continue
-            for t, why in leaving:
-                close(t, time, o, why)
-                live.remove(t)
+            if leaving:
+                close(time, o, leaving)
             if entering:
-                quantity = min(size(money, o, vol[i - 1], strength[i - 1]), max_position - sum(t.quantity for t in live))
+                quantity = min(size(money, o, vol[i], strength[i]), max_position - sum(t.quantity for t in live))
                 if quantity > 0:
                     live.append(Trade(entering, o * entering, time, quantity))
-            leaving, entering = [], 0
-            for t in live:
-                t.held += 1
-                seen = Seen(h, l, atr[i], low_edge[i]) if t.side > 0 else Seen(-l, -h, atr[i], -high_edge[i])
-                why = next((name for name, rule in rules if rule(t, seen)), None)
-                if why is None and exits.opposite_signal and (pdf["sell"][i] if t.side > 0 else pdf["buy"][i]):
-                    why = "opposite_signal"
-                if why:
-                    leaving.append((t, why))
+            leaving, entering = reason(i, h, l), 0
             if not day_minutes or day_minutes[0] <= at <= day_minutes[1]:
                 entering = 1 if pdf["buy"][i] else -1 if pdf["sell"][i] else 0
-        if day_minutes and live:
-            for t in live:
-                close(t, pdf["time"].iloc[-1], pdf["close"].iloc[-1], "end_of_day")
-        return pd.DataFrame(out, columns=NAMES)
+        if day_minutes or force_close:
+            close(pdf["time"].iloc[-1], pdf["close"].iloc[-1], "END_OF_DAY" if day_minutes else "FORCE_CLOSE")
+        return pd.DataFrame(out, columns=schema.names)
 
-    return bars.groupBy(*by).applyInPandas(run, TRADES)
+    return bars.groupBy(*by).applyInPandas(run, schema)
 
 
 def replay_ticks(ticks: DataFrame, size: Callable[..., float] | None = None, capital: float = 100_000.0, point_value: float = 1.0) -> DataFrame:
@@ -233,11 +254,11 @@ def replay_ticks(ticks: DataFrame, size: Callable[..., float] | None = None, cap
                 continue
             quote = bid if side > 0 else ask
             gain = (quote - price) * side
-            why = "stop_loss" if gain <= -stop else "take_profit" if gain >= goal else "opposite_signal" if way * side < 0 else "end_of_day" if i == last else ""
+            why = "stop_loss" if gain <= -stop else "take_profit" if gain >= goal else "SIGNAL" if way * side < 0 else "END_OF_DAY" if i == last else ""
             if why:
                 pnl = gain * quantity * point_value
                 money += pnl
-                out.append((pdf["symbol"].iloc[0], "BUY" if side > 0 else "SELL", quantity, since, price, ts, quote, pnl, why))
+                out.append((pdf["symbol"].iloc[0], "BUY" if side > 0 else "SELL", quantity, since, price, ts, quote, pnl, why, 0.0))
                 side = 0
         return pd.DataFrame(out, columns=NAMES)
 

@@ -154,7 +154,9 @@ def ind_atr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.smoothed(df, {"atr": ("tr", 1 / 14, 14)}).select("symbol", "time", rounded(F.nanvl("atr", F.lit(None).cast("double"))).alias("atr"))
 
 
-@query()
+@query(f"""WITH {H1}, d AS (SELECT *, close - {lagged('close')} AS d FROM bars), x AS (SELECT symbol, list(greatest(d, 0) ORDER BY time) AS g, list(greatest(-d, 0) ORDER BY time) AS l, list(time ORDER BY time) AS ts FROM d WHERE d IS NOT NULL GROUP BY symbol),
+y AS (SELECT symbol, ts[i] AS time, i, list_reduce(g[1:i], lambda a, v: a + {1 / 14!r} * (v - a)) AS g, list_reduce(l[1:i], lambda a, v: a + {1 / 14!r} * (v - a)) AS l FROM (SELECT *, unnest(generate_series(1, len(g))) AS i FROM x))
+SELECT b.symbol, b.time, round(CASE WHEN i >= 14 THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END END, 6) AS rsi FROM bars b LEFT JOIN y USING (symbol, time)""")
 def ind_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("close") - C.lag(F.col("close"))
     df = hourly(spark, sf_dir).withColumns({"gain": F.greatest(d, F.lit(0.0)), "loss": F.greatest(-d, F.lit(0.0))})
@@ -164,7 +166,11 @@ def ind_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", "time", rounded(F.when(l == 0, 100.0).otherwise(100 - 100 / (1 + C.div(g, l)))).alias("rsi"))
 
 
-@query()
+@query(f"""WITH {H1}, x AS (SELECT symbol, list(close ORDER BY time) AS xs, list(time ORDER BY time) AS ts FROM bars GROUP BY symbol),
+y AS (SELECT symbol, ts[i] AS time, list_reduce(xs[1:i], lambda a, v: a + {2 / 13!r} * (v - a)) - list_reduce(xs[1:i], lambda a, v: a + {2 / 27!r} * (v - a)) AS macd FROM (SELECT *, unnest(generate_series(1, len(xs))) AS i FROM x)),
+z AS (SELECT symbol, list(macd ORDER BY time) AS ms, list(time ORDER BY time) AS ts FROM y GROUP BY symbol),
+s AS (SELECT symbol, ts[i] AS time, ms[i] AS macd, list_reduce(ms[1:i], lambda a, v: a + {2 / 10!r} * (v - a)) AS signal FROM (SELECT *, unnest(generate_series(1, len(ms))) AS i FROM z))
+SELECT symbol, time, round(macd, 6) AS macd, round(signal, 6) AS signal, round(macd - signal, 6) AS histogram FROM s""")
 def ind_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = folds.smoothed(hourly(spark, sf_dir), {"f": ("close", folds.ema_alpha(12), 0), "s": ("close", folds.ema_alpha(26), 0)}).withColumn("macd", F.col("f") - F.col("s"))
     df = folds.smoothed(df, {"signal": ("macd", folds.ema_alpha(9), 0)})
@@ -224,10 +230,12 @@ TRADES = "t AS (SELECT l_returnflag AS symbol, l_orderkey * 10 + l_linenumber AS
 @query(f"""WITH {TRADES}, e AS (SELECT *, pnl > 0 AS win, 100000 + sum(pnl) OVER w AS equity, CASE WHEN lag(pnl > 0) OVER w = (pnl > 0) THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (PARTITION BY symbol ORDER BY exit_time, trade_id)),
 p AS (SELECT *, greatest(100000, max(equity) OVER w) AS peak, sum(fresh) OVER w AS island FROM e WINDOW w AS (PARTITION BY symbol ORDER BY exit_time, trade_id)),
 s AS (SELECT symbol, island, win, count(*) AS n FROM p GROUP BY ALL), k AS (SELECT symbol, max(CASE WHEN win THEN n END) AS a, max(CASE WHEN NOT win THEN n END) AS b FROM s GROUP BY symbol)
-SELECT p.symbol, count(*) AS total_trades, round(sum(pnl), 2) AS total_pnl, round(avg(CAST(win AS INTEGER)), 6) AS win_rate, round(max(peak - equity), 2) AS max_drawdown, round(sum(CASE WHEN win THEN pnl END) / sum(CASE WHEN NOT win THEN -pnl END), 6) AS profit_factor, round(avg(pnl), 4) AS expectancy, any_value(coalesce(a, 0)) AS max_win_streak, any_value(coalesce(b, 0)) AS max_loss_streak FROM p JOIN k ON p.symbol = k.symbol GROUP BY p.symbol""")
+SELECT p.symbol, count(*) AS total_trades, round(sum(pnl), 2) AS total_pnl, 0.0 AS total_commission, round(avg(CAST(win AS INTEGER)), 6) AS win_rate, count(*) FILTER (win) AS winning_trades, count(*) FILTER (NOT win) AS losing_trades, round(max(peak - equity), 2) AS max_drawdown, round(max(CASE WHEN peak > 0 THEN (peak - equity) / peak ELSE 0 END), 6) AS max_drawdown_pct, round(sum(pnl) / max(peak - equity), 6) AS recovery_factor, round(avg(pnl) FILTER (win), 4) AS avg_win, round(avg(pnl) FILTER (NOT win), 4) AS avg_loss, round(avg(pnl) FILTER (win) / -avg(pnl) FILTER (NOT win), 6) AS win_loss_ratio, round(sum(CASE WHEN win THEN pnl END) / sum(CASE WHEN NOT win THEN -pnl END), 6) AS profit_factor, round(avg(pnl), 4) AS expectancy, any_value(coalesce(a, 0)) AS max_win_streak, any_value(coalesce(b, 0)) AS max_loss_streak FROM p JOIN k ON p.symbol = k.symbol GROUP BY p.symbol""")
 def trade_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = analytics.trade_metrics(made_trades(spark, sf_dir))
-    return out.select("symbol", "total_trades", F.round("total_pnl", 2).alias("total_pnl"), F.round("win_rate", 6).alias("win_rate"), F.round("max_drawdown", 2).alias("max_drawdown"), F.round("profit_factor", 6).alias("profit_factor"), F.round("expectancy", 4).alias("expectancy"), "max_win_streak", "max_loss_streak")
+    places = {"total_pnl": 2, "max_drawdown": 2, "expectancy": 4, "avg_win": 4, "avg_loss": 4, "total_commission": 2}
+    ratios = ("win_rate", "max_drawdown_pct", "recovery_factor", "win_loss_ratio", "profit_factor")
+    return out.select("symbol", "total_trades", "winning_trades", "losing_trades", *(F.round(x, n).alias(x) for x, n in (places | dict.fromkeys(ratios, 6)).items()), "max_win_streak", "max_loss_streak")
 
 
 @query(f"WITH {TRADES} SELECT coalesce(nullif(trim(exit_reason), ''), 'unknown') AS reason, count(*) AS trades, round(sum(pnl), 2) AS pnl, round(avg(CAST(pnl > 0 AS INTEGER)), 6) AS win_rate FROM t GROUP BY 1")

@@ -42,12 +42,14 @@ GRAPHS: dict[str, tuple[tuple[Node, ...], str, str]] = {
     "trend_blend": ((CLOSE, Node("b", "ind.trend_blend", {"lookback_1": 5, "lookback_2": 21, "lookback_3": 63, "vol_window": 21}, ("c",)), Node("buy", "cmp.cross_above", {}, ("b",)), Node("sell", "cmp.cross_below", {}, ("b",))), "g_buy", "g_sell"),
 }
 m, s = full("close", 20, "avg(close)"), full("close", 20, "stddev_samp(close)")
+sq = lambda n: f"sign(close / nullif({lagged('close', n)}, 0) - 1)"
 FLAG = "SELECT symbol, time, coalesce({buy}, false) AS buy, coalesce({sell}, false) AS sell FROM x"
 GRAPH_SQL = {
     "bollinger_reversion": f"WITH {D1}, x AS (SELECT *, {m} + 2 * {s} AS u, {m} - 2 * {s} AS l FROM bars) " + FLAG.format(buy=f"{lagged('close')} >= {lagged('l')} AND close < l", sell=f"{lagged('close')} <= {lagged('u')} AND close > u"),
     "donchian_breakout": f"WITH {D1}, y AS (SELECT *, {full('high', 20, 'max(high)', 1)} AS u, {full('low', 20, 'min(low)', 1)} AS l FROM bars), x AS (SELECT *, {lagged('u')} AS pu, {lagged('l')} AS pl FROM y) " + FLAG.format(buy="close > pu", sell="close < pl"),
     "vma": f"WITH {D1}, x AS (SELECT *, {m} * 1.01 AS u, {m} * 0.99 AS l FROM bars) " + FLAG.format(buy=f"close > u AND {lagged('close')} <= {lagged('u')}", sell=f"close < l AND {lagged('close')} >= {lagged('l')}"),
     "trb": f"WITH {D1}, x AS (SELECT *, {full('close', 20, 'max(close)', 1)} AS u, {full('close', 20, 'min(close)', 1)} AS l FROM bars) " + FLAG.format(buy=f"{lagged('close')} <= u AND close > u * 1.01", sell=f"{lagged('close')} >= l AND close < l * 0.99"),
+    "trend_blend": f"WITH {D1}, y AS (SELECT *, ({sq(5)} + {sq(21)} + {sq(63)}) / 3 AS v FROM bars), x AS (SELECT *, {lagged('v')} AS p FROM y) " + FLAG.format(buy="v > 0 AND p <= 0", sell="v < 0 AND p >= 0"),
     "tsmom": f"WITH {D1}, i AS (SELECT *, (row_number() OVER {W} - 1) % 5 = 0 AS turn, coalesce(sign(close / nullif({lagged('close', 21)}, 0) - 1), 0) AS s FROM bars), r AS (SELECT symbol, time, s, coalesce({lagged('s')}, 0) AS p FROM i WHERE turn), x AS (SELECT i.symbol, i.time, r.s > 0 AND r.p <= 0 AS b, r.s < 0 AND r.p >= 0 AS d FROM i LEFT JOIN r USING (symbol, time)) " + FLAG.format(buy="b", sell="d"),
 }
 
@@ -103,7 +105,7 @@ def backtest_exit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def backtest_inverse_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.replay(with_risk(signals(spark, sf_dir, "tsmom")), size=rules.inverse_volatility(4.0, 1.0, 0, 10), max_position=10.0)
+    return rules.replay(with_risk(signals(spark, sf_dir, "tsmom")), size=rules.inverse_volatility(400.0, 1.0, 0, 10), max_position=10.0)
 
 
 @query()
@@ -221,9 +223,9 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily(spark, sf_dir).select("symbol", "time", "open", "high", "low", "close")
 
 
-@query(f"""WITH {D1}, s AS (SELECT * FROM bars WHERE symbol LIKE '1%'), l AS (UNPIVOT (SELECT time, open, high, low, close FROM s) ON open, high, low, close INTO NAME f VALUE v),
-r AS (SELECT time, f, rank() OVER (PARTITION BY f ORDER BY v) + (count(*) OVER (PARTITION BY f, v) - 1) / 2 AS k FROM l), n AS (SELECT unnest(['open', 'high', 'low', 'close']) AS f, unnest([0, 1, 2, 3]) AS i)
-SELECT p.f AS a, q.f AS b, round(abs(corr(p.k, q.k)), 6) AS corr FROM r p JOIN r q USING (time) JOIN n np ON np.f = p.f JOIN n nq ON nq.f = q.f WHERE np.i < nq.i GROUP BY ALL""")
+@query(f"""WITH {D1}, l AS (UNPIVOT (SELECT symbol, time, open, high, low, close FROM bars) ON open, high, low, close INTO NAME f VALUE v),
+r AS (SELECT symbol, time, f, rank() OVER (PARTITION BY symbol, f ORDER BY v) + (count(*) OVER (PARTITION BY symbol, f, v) - 1) / 2 AS k FROM l), n AS (SELECT unnest(['open', 'high', 'low', 'close']) AS f, unnest([0, 1, 2, 3]) AS i)
+SELECT p.symbol, p.f AS a, q.f AS b, round(abs(corr(p.k, q.k)), 6) AS corr FROM r p JOIN r q USING (symbol, time) JOIN n np ON np.f = p.f JOIN n nq ON nq.f = q.f WHERE np.i < nq.i GROUP BY ALL""")
 def feature_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return research.correlations(wide(spark, sf_dir), ["open", "high", "low", "close"], "symbol").select("symbol", "a", "b", F.round("corr", 6).alias("corr"))
 
@@ -266,10 +268,12 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = df.withColumns({f"m{n}": C.sma(c("close"), n) for n in sorted({n for p in grid for n in p})})
     cut = research.in_windows(means, windows(spark, sf_dir) or [{"window": 0, "train_start": datetime(1970, 1, 1), "test_start": datetime(1970, 1, 2), "test_end": datetime(1970, 1, 3)}])
     cand = cut.withColumn("_c", F.explode(F.array(*(F.struct(F.lit(i).alias("candidate"), c(f"m{a}").alias("fast"), c(f"m{b}").alias("slow")) for i, (a, b) in enumerate(grid)))))
-    cand = cand.select("symbol", "time", "open", "high", "low", "close", "window", "part", "_c.*").withColumn("symbol", F.concat_ws("|", "symbol", "window", "part", "candidate"))
-    trades = rules.replay(cand.withColumns({"buy": C.cross_above(c("fast"), c("slow")), "sell": C.cross_below(c("fast"), c("slow"))}))
-    key = F.split("symbol", r"\|")
-    results = trades.groupBy(key[0].alias("symbol"), key[1].cast("int").alias("window"), key[2].alias("part"), key[3].cast("int").alias("candidate")).agg(F.count(F.lit(1)).alias("trades"), F.sum("pnl").alias("objective"))
+    cand = cand.select("symbol", "time", "open", "high", "low", "close", "window", "part", "_c.*")
+    w = Window.partitionBy("symbol", "window", "part", "candidate").orderBy("time")
+    above, before = c("fast") > c("slow"), F.lag(c("fast") - c("slow")).over(w)
+    cand = cand.withColumns({"buy": C.false_if_null(above & (before <= 0)), "sell": C.false_if_null((c("fast") < c("slow")) & (before >= 0))})
+    trades = rules.replay(cand, by=("symbol", "window", "part", "candidate"))
+    results = trades.groupBy("symbol", "window", "part", "candidate").agg(F.count(F.lit(1)).alias("trades"), F.sum("pnl").alias("objective"))
     out = research.gates(research.walk_forward(results))
     return out.select("symbol", "windows", "oos_trades", F.round("mean_is", 4).alias("mean_is"), F.round("oos", 4).alias("oos"), F.round("efficiency", 6).alias("efficiency"), F.concat_ws(",", "flags").alias("flags"), "passed")
 
@@ -330,7 +334,7 @@ def risk_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
     side = F.when(c("l_orderkey") % 2 == 0, "BUY").otherwise("SELL")
-    return li.select(c("l_returnflag").alias("account"), c("l_suppkey").cast("string").alias("symbol"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("fill_id"), c("l_shipdate").cast("timestamp").alias("time"), side.alias("side"), c("l_quantity").alias("quantity"), F.round(c("l_extendedprice") / c("l_quantity"), 2).alias("price"))
+    return li.select(c("l_returnflag").alias("account"), c("l_suppkey").cast("string").alias("symbol"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("fill_id"), c("l_shipdate").cast("timestamp").alias("time"), side.alias("side"), c("l_quantity").alias("quantity"), (F.floor(c("l_extendedprice") / c("l_quantity") * 100) / 100).alias("price"))
 
 
 @query("WITH u AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_suppkey, l_orderkey * 10 + l_linenumber ORDER BY l_shipdate, l_quantity, l_extendedprice) = 1), f AS (SELECT l_returnflag AS account, CAST(l_suppkey AS VARCHAR) AS symbol, CAST(CASE WHEN l_orderkey % 2 = 0 THEN l_quantity ELSE -l_quantity END AS BIGINT) AS q FROM u), s AS (SELECT account, symbol, sum(q) AS q FROM f GROUP BY ALL) SELECT account, symbol, CASE WHEN q > 0 THEN 'LONG' WHEN q < 0 THEN 'SHORT' ELSE 'FLAT' END AS side, CAST(abs(q) AS BIGINT) AS quantity FROM s")
@@ -339,6 +343,14 @@ def net_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.positions(fills(spark, sf_dir)).groupBy("account", "symbol").agg(last.alias("p")).select("account", "symbol", "p.side", c("p.quantity").cast("long").alias("quantity"))
 
 
-@query()
+@query("""WITH RECURSIVE u AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_suppkey, l_orderkey * 10 + l_linenumber ORDER BY l_shipdate, l_quantity, floor(l_extendedprice / l_quantity * 100)) = 1),
+f AS (SELECT l_returnflag AS account, l_suppkey AS s, l_orderkey * 10 + l_linenumber AS fill_id, l_shipdate AS time, CAST(CASE WHEN l_orderkey % 2 = 0 THEN l_quantity ELSE -l_quantity END AS DECIMAL(20, 8)) AS d, CAST(floor(l_extendedprice / l_quantity * 100) / 100 AS DECIMAL(18, 2)) AS p,
+row_number() OVER (PARTITION BY l_returnflag, l_suppkey ORDER BY l_shipdate, l_orderkey * 10 + l_linenumber) AS i FROM u),
+g AS (SELECT account, s, i, fill_id, time, d AS held, CAST(p AS DOUBLE) AS entry, CAST(0 AS DOUBLE) AS won FROM f WHERE i = 1 UNION ALL
+SELECT f.account, f.s, f.i, f.fill_id, f.time, g.held + f.d, CASE WHEN g.held * (g.held + f.d) <= 0 THEN CAST(f.p AS DOUBLE) WHEN g.held * f.d >= 0 THEN round((g.entry * abs(g.held) + CAST(f.p AS DOUBLE) * abs(f.d)) / abs(g.held + f.d), 8) ELSE g.entry END,
+CASE WHEN g.held * f.d < 0 THEN CAST(least(abs(g.held), abs(f.d)) AS DOUBLE) * (CAST(f.p AS DOUBLE) - g.entry) * CASE WHEN g.held > 0 THEN 1 ELSE -1 END ELSE 0 END FROM g JOIN f ON f.account = g.account AND f.s = g.s AND f.i = g.i + 1),
+e AS (SELECT account, fill_id, time, won, 1000000 + sum(won - 0.5) OVER (PARTITION BY account ORDER BY time, fill_id ROWS UNBOUNDED PRECEDING) AS b FROM g)
+SELECT account, fill_id, time, 'realised_pnl' AS kind, round(won, 2) AS amount, round(b, 2) AS balance_after FROM e WHERE abs(won) >= 0.000000005 UNION ALL SELECT account, fill_id, time, 'fee', -0.5, round(b, 2) FROM e""")
 def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.ledger(ledger.positions(fills(spark, sf_dir)), F.lit(1_000_000), F.lit(0.5))
+    out = ledger.ledger(ledger.positions(fills(spark, sf_dir)), F.lit(1_000_000), F.lit(0.5))
+    return out.withColumns({x: F.round(c(x), 2).cast("double") for x in ("amount", "balance_after")})

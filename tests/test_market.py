@@ -62,7 +62,7 @@ def test_backtest_fills_at_the_next_open(spark):
     rows = [("s", day(i), float(100 + i), float(101 + i), float(99 + i), float(100 + i), i == 1, i == 4) for i in range(8)]
     df = spark.createDataFrame(rows, "symbol string, time timestamp, open double, high double, low double, close double, buy boolean, sell boolean")
     trades = folds.backtest(df).collect()
-    assert [(t.action, t.entry_price, t.exit_price, t.pnl, t.exit_reason) for t in trades] == [("BUY", 102.0, 105.0, 3.0, "opposite_signal")]
+    assert [(t.action, t.entry_price, t.exit_price, t.pnl, t.exit_reason) for t in trades] == [("BUY", 102.0, 105.0, 3.0, "SIGNAL")]
     assert folds.backtest(df, max_bars=1).first().exit_reason == "time_stop"
     assert folds.backtest(df.limit(0)).count() == 0
 
