@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: a component's members meet their label's own label in so many parts
-SALTS = 64
+SALTS = 8
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import gram_hashes, mix, tidy, word_hashes, written
-from .components import components
+from .components import SALTS, components
 from .exchange import PACKED, buckets, held_by_others, notes, packing
 
 #: hub rounds at most; members of a list that is joined with itself; texts of a block
@@ -243,7 +243,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
             break
         first = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
         hubs = known.groupBy("value").agg(F.min(F.struct(first.alias("first"), "id", "label")).alias("hub"))
-        toward = known.join(hubs, "value").where("label <> hub.label").groupBy("id", F.col("hub.id").alias("hub")).agg(F.sum("weight").alias("often"))
+        hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = known.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))  # a list may hold most documents
+        toward = salted.join(hubs, ["value", "salt"]).where("label <> hub.label").groupBy("id", F.col("hub.id").alias("hub")).agg(F.sum("weight").alias("often"))
         chosen = toward.groupBy("id").agg(F.max(F.struct("often", -F.col("hub"))).alias("m")).select("id", (-F.col("m.col2")).alias("hub"))
         pairs = chosen.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         pairs = written(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"))
