@@ -229,6 +229,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     classes = written(own.groupBy("same").agg(F.min("id").alias("rep")))
     reps = written(own.join(classes.withColumnRenamed("rep", "id"), ["same", "id"], "left_semi").select("id", "n", "sig").distinct())
     posts = _postings(reps, matches)
+    docs = written(docs.join(posts.select("id").distinct(), "id", "left_semi"))  # only these are ever compared
 
     # rows of one id are one document: the classes of an id are linked through its smallest representative
     placed = own.join(classes, "same").select("id", "rep", "n")
