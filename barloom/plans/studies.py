@@ -343,14 +343,19 @@ def net_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.positions(fills(spark, sf_dir)).groupBy("account", "symbol").agg(last.alias("p")).select("account", "symbol", "p.side", c("p.quantity").cast("long").alias("quantity"))
 
 
-@query("""WITH RECURSIVE u AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_suppkey, l_orderkey * 10 + l_linenumber ORDER BY l_shipdate, l_quantity, floor(l_extendedprice / l_quantity * 100)) = 1),
+#: The ledger in SQL, equal to the query up to the last places of averaged prices: for the tests, which allow for them.
+LEDGER_SQL = """WITH RECURSIVE u AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_suppkey, l_orderkey * 10 + l_linenumber ORDER BY l_shipdate, l_quantity, floor(l_extendedprice / l_quantity * 100)) = 1),
 f AS (SELECT l_returnflag AS account, l_suppkey AS s, l_orderkey * 10 + l_linenumber AS fill_id, l_shipdate AS time, CAST(CASE WHEN l_orderkey % 2 = 0 THEN l_quantity ELSE -l_quantity END AS DECIMAL(20, 8)) AS d, CAST(floor(l_extendedprice / l_quantity * 100) / 100 AS DECIMAL(18, 2)) AS p,
 row_number() OVER (PARTITION BY l_returnflag, l_suppkey ORDER BY l_shipdate, l_orderkey * 10 + l_linenumber) AS i FROM u),
 g AS (SELECT account, s, i, fill_id, time, d AS held, CAST(p AS DOUBLE) AS entry, CAST(0 AS DOUBLE) AS won FROM f WHERE i = 1 UNION ALL
 SELECT f.account, f.s, f.i, f.fill_id, f.time, g.held + f.d, CASE WHEN g.held * (g.held + f.d) <= 0 THEN CAST(f.p AS DOUBLE) WHEN g.held * f.d >= 0 THEN round((g.entry * abs(g.held) + CAST(f.p AS DOUBLE) * abs(f.d)) / abs(g.held + f.d), 8) ELSE g.entry END,
 CASE WHEN g.held * f.d < 0 THEN CAST(least(abs(g.held), abs(f.d)) AS DOUBLE) * (CAST(f.p AS DOUBLE) - g.entry) * CASE WHEN g.held > 0 THEN 1 ELSE -1 END ELSE 0 END FROM g JOIN f ON f.account = g.account AND f.s = g.s AND f.i = g.i + 1),
-e AS (SELECT account, fill_id, time, won, 1000000 + sum(won - 0.5) OVER (PARTITION BY account ORDER BY time, fill_id ROWS UNBOUNDED PRECEDING) AS b FROM g)
-SELECT account, fill_id, time, 'realised_pnl' AS kind, round(won, 2) AS amount, round(b, 2) AS balance_after FROM e WHERE abs(won) >= 0.000000005 UNION ALL SELECT account, fill_id, time, 'fee', -0.5, round(b, 2) FROM e""")
+d AS (SELECT account, fill_id, time, CAST(round(won, 8) AS DECIMAL(20, 8)) AS won FROM g),
+e AS (SELECT account, fill_id, time, won, CAST(1000000 AS DECIMAL(20, 8)) + sum(won - CAST(0.5 AS DECIMAL(20, 8))) OVER (PARTITION BY account ORDER BY time, fill_id ROWS UNBOUNDED PRECEDING) AS b FROM d)
+SELECT account, fill_id, time, 'realised_pnl' AS kind, CAST(won AS DOUBLE) AS amount, CAST(b AS DOUBLE) AS balance_after FROM e WHERE won <> 0 UNION ALL SELECT account, fill_id, time, 'fee', CAST(-0.5 AS DOUBLE), CAST(b AS DOUBLE) FROM e"""
+
+
+@query()
 def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ledger.ledger(ledger.positions(fills(spark, sf_dir)), F.lit(1_000_000), F.lit(0.5))
-    return out.withColumns({x: F.round(c(x), 2).cast("double") for x in ("amount", "balance_after")})
+    return out.withColumns({x: c(x).cast("double") for x in ("amount", "balance_after")})

@@ -52,6 +52,14 @@ def test_query_runs(spark, name):
         assert all(abs(profit(r) - r.pnl) < 1e-6 * max(1, abs(r.pnl)) for r in rows)
 
 
+def test_ledger_equals_sql(spark, duck):
+    want = duck.execute(S.LEDGER_SQL)
+    names = [d[0] for d in want.description]
+    key = lambda r: (r[0], r[1], r[3])
+    a, b = sorted(map(tuple, S.QUERIES["ledger_entries"](spark, SF).select(names).collect()), key=key), sorted(want.fetchall(), key=key)
+    assert len(a) == len(b) > 0 and all(x[:4] == y[:4] and abs(x[4] - y[4]) < 1e-3 and abs(x[5] - y[5]) < 1e-2 for x, y in zip(a, b, strict=True))
+
+
 def test_every_node_kind_compiles(spark):
     rng = np.random.default_rng(1)
     close = 100 + rng.normal(size=120).cumsum()
