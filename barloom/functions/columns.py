@@ -159,3 +159,8 @@ def rolling_corr(a: Column, b: Column, n: int) -> Column:
 
 def forward_return(x: Column, h: int) -> Column:
     return div(F.lead(x, h).over(series()), x) - 1
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson's correlation in a group; null, where an aggregate would divide by zero, if either is constant."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from ..functions import columns as C
 from pyspark.sql.window import Window as W
 
 DRAWDOWN_FLOOR = 1e-9  # a fixed value
@@ -59,7 +61,7 @@ def information_coefficients(rows: DataFrame, feature: str, target: str, by: str
         return F.rank().over(W.partitionBy(by).orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(by, c)) - 1) / 2.0
 
     ranked = rows.withColumns({"_f": rank(feature), "_t": rank(target)})
-    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.corr(feature, target).alias("ic"), F.corr("_f", "_t").alias("rank_ic"))
+    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), C.correlation(feature, target).alias("ic"), C.correlation("_f", "_t").alias("rank_ic"))
 
 
 def path_quality(trades: DataFrame, bars: DataFrame, point_value: float = 1.0) -> DataFrame:

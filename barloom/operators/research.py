@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..functions.columns import correlation
+
 EULER = 0.5772156649015329  # the Euler-Mascheroni constant
 
 
@@ -46,13 +48,19 @@ def expected_max_sharpe(trials: int, sigma: float = 1.0) -> float:
     return 0.0 if trials == 1 else sigma * ((1 - EULER) * z(1 - 1 / trials) + EULER * z(1 - 1 / (trials * math.e)))
 
 
-def deflated_sharpe(df: DataFrame, trials: int, ratio: str = "sharpe", n: str = "n", skew: str = "skew", kurtosis: str = "excess") -> DataFrame:
-    """`df` with dsr, the probability that the ratio beats the best of `trials` chance results."""
-    cdf = F.pandas_udf(lambda z: z.map(NormalDist().cdf, na_action="ignore"), "double")
+def normal_cdf(x: Column) -> Column:
+    """The standard normal distribution by its series in odd powers, in Horner's form; 8 deviations off it is 0 or 1 in doubles."""
+    z = F.least(F.greatest(x, F.lit(-8.0)), F.lit(8.0))
+    total = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), F.lit(1.0), lambda a, k: a * z * z / (2 * k + 1) + 1)
+    return F.when(x.isNotNull(), 0.5 + z * total * F.exp(-z * z / 2) / math.sqrt(2 * math.pi))
+
+
+def deflated_sharpe(df: DataFrame, trials: int, ratio: str = "sharpe", n: str = "n", skew: str = "skew", kurtosis: str = "excess", variance: float = 1.0) -> DataFrame:
+    """`df` with dsr, the probability that the ratio beats the best of `trials` chance results, whose ratios have that variance."""
     s = F.col(ratio)
-    spread = F.sqrt(1 - F.col(skew) * s + (F.col(kurtosis) - 1) / 4 * s * s)
-    z = (s - expected_max_sharpe(trials)) * F.sqrt(F.col(n) - 1) / F.when(spread > 0, spread)
-    return df.withColumn("dsr", F.when(F.col(n) < 2, 0.0).when(spread > 0, cdf(z)).otherwise(F.when(s.isNotNull(), 0.0)))
+    spread = 1 - F.col(skew) * s + (F.col(kurtosis) - 1) / 4 * s * s
+    z = (s - expected_max_sharpe(trials, math.sqrt(max(variance, 0.0)))) * F.sqrt(F.col(n) - 1) / F.sqrt(F.when(spread > 0, spread))
+    return df.withColumn("dsr", F.when(F.col(n) < 2, 0.0).when(spread > 0, normal_cdf(z)).otherwise(F.when(s.isNotNull(), 0.0)))
 
 
 # features against targets; rows are (by, time, feature, target)
@@ -114,7 +122,7 @@ def correlations(wide: DataFrame, features: list[str], by: str | None = None) ->
     ranks = counts.withColumn("rank", F.sum("c").over(W.partitionBy(*keys, "f").orderBy("v")) - (F.col("c") - 1) / 2)
     ranked = long.join(ranks, [*keys, "f", "v"]).groupBy(*keys, "_key").pivot("f", features).agg(F.first("rank"))
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    one = ranked.groupBy(*keys).agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.abs(F.corr(a, b)).alias("corr")) for a, b in pairs)).alias("all"))
+    one = ranked.groupBy(*keys).agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.abs(correlation(a, b)).alias("corr")) for a, b in pairs)).alias("all"))
     return one.select(*keys, F.inline("all"))
 
 
@@ -133,6 +141,85 @@ def redundancy(corr: DataFrame, features: list[str], threshold: float = 0.9) ->
     return {f: root(f) for f in features}
 
 
+def rank_of(value: str, by: list[str]) -> Column:
+    """The rank among the rows of `by`; equal values share the mean of their places."""
+    return F.rank().over(W.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(W.partitionBy(*by, value)) - 1) / 2
+
+
+def rank_ics(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, rank_ic): the rank correlation of x and y in each group."""
+    ranked = rows.withColumns({"_rx": rank_of("x", by), "_ry": rank_of("y", by)})
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias("rank_ic"))
+
+
+def regime_consistency(ics: DataFrame, by: list[str]) -> DataFrame:
+    """(by, regime_term): 1 where all regimes' rank correlations agree, 0 where they are 2 apart or fewer than two are known."""
+    term = 1 - F.least((F.max("rank_ic") - F.min("rank_ic")) / 2, F.lit(1.0))
+    return ics.groupBy(*by).agg(F.when(F.count("rank_ic") >= 2, term).otherwise(0.0).alias("regime_term"))
+
+
+def clusters(corr: DataFrame, features: list[str], by: str, threshold: float = 0.9) -> DataFrame:
+    """(by, feature, cluster): the smallest name that links of at least `threshold` lead to.
+
+    Paths double in length each round. The tables have a row for two features of a key, however many rows were correlated.
+    """
+    linked = corr.where(F.col("corr") >= threshold)
+    alone = corr.select(by).distinct().select(by, F.explode(F.array(*map(F.lit, features))).alias("a")).withColumn("b", F.col("a"))
+    reach = alone.unionByName(linked.select(by, "a", "b")).unionByName(linked.select(by, F.col("b").alias("a"), F.col("a").alias("b")))
+    for _ in range(max(len(features) - 1, 1).bit_length()):
+        reach = reach.select(by, "a", F.col("b").alias("via")).join(reach.select(by, F.col("a").alias("via"), "b"), [by, "via"]).select(by, "a", "b").distinct()
+    return reach.groupBy(by, F.col("a").alias("feature")).agg(F.min("b").alias("cluster"))
+
+
+def permutation_null(rows: DataFrame, by: list[str], permutations: int = 20, block: int = 20) -> DataFrame:
+    """(by, n, rank_ic, null_mean, null_std): the rank correlation, and median and deviation of its size once x is dealt anew by blocks.
+
+    Blocks are ordered by a hash of key, permutation and number, so that any run deals alike; rows behind the last
+    whole block stay. Ranks stay too: a permutation only adds up the products of blocks of ranks that meet.
+    """
+    ranked = rows.withColumns({"rx": rank_of("x", by), "ry": rank_of("y", by), "i": F.row_number().over(W.partitionBy(*by).orderBy("time")) - 1})
+    ranked = ranked.withColumn("block", F.floor(F.col("i") / block))
+    cells = F.array_sort(F.collect_list(F.struct("i", "rx", "ry")))
+    blocks = ranked.groupBy(*by, "block").agg(cells.alias("v"), (F.count(F.lit(1)) == block).alias("full"))
+    figures = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("rx", "ry").alias("rank_ic"), F.avg("rx").alias("mx"), F.avg("ry").alias("my"), (F.stddev_pop("rx") * F.stddev_pop("ry")).alias("dev"))
+    dealt = blocks.select(*by, "block", "full", F.col("v.rx").alias("xs"), F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("p"))
+    order = W.partitionBy(*by, "p", "full").orderBy(F.md5(F.concat_ws(":", *by, "p", "block")))
+    dealt = dealt.withColumn("place", F.when(F.col("full"), F.row_number().over(order) - 1).otherwise(F.col("block")))
+    met = dealt.drop("block").join(blocks.select(*by, F.col("block").alias("place"), F.col("v.ry").alias("ys")), [*by, "place"])
+    products = F.aggregate(F.zip_with("xs", "ys", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    sums = met.groupBy(*by, "p").agg(F.sum(products).alias("total")).join(figures, by)
+    sums = sums.withColumn("ic", F.abs((F.col("total") / F.col("n") - F.col("mx") * F.col("my")) / F.nullif("dev", F.lit(0.0))))
+    return sums.groupBy(*by).agg(F.first("n").alias("n"), F.first("rank_ic").alias("rank_ic"), F.percentile("ic", 0.5).alias("null_mean"), F.stddev_pop("ic").alias("null_std"))
+
+
+def deflated_ic(df: DataFrame, trials: int) -> DataFrame:
+    """`df` of permutation_null with null_floor, what the best of `trials` chance features is expected to show, and deflated, the probability of beating it."""
+    best, root = expected_max_sharpe(trials), F.sqrt(F.greatest(F.col("n"), F.lit(2)))
+    floor = F.when(F.col("n") >= 4, F.col("null_mean") + best * F.when(F.col("null_std") > 0, F.col("null_std")).otherwise(1 / root))
+    over = F.abs("rank_ic") - F.coalesce(F.col("null_floor"), F.lit(0.0)) - best / root
+    return df.withColumn("null_floor", floor).withColumn("deflated", F.when(over > 0, normal_cdf(over * F.sqrt(F.col("n") - 1))).otherwise(0.0))
+
+
+def plateau(cells: DataFrame, by: str, parameters: list[str], objective: str) -> DataFrame:
+    """(by, champion, neighbours, profitable_fraction, score_retention) of each best cell and those one step off in one parameter.
+
+    Ties go to the smaller parameters. One champion for each `by` meets that key's cells.
+    """
+    first = F.max_by(F.struct(*parameters, objective), F.struct(F.col(objective), *(-F.col(x) for x in parameters)))
+    champion = cells.groupBy(by).agg(first.alias("_c"))
+    steps = sum((F.abs(F.col(x) - F.col(f"_c.{x}")) for x in parameters), F.lit(0))
+    near = F.when(steps == 1, F.col(objective))
+    out = cells.join(champion, by).groupBy(by).agg(F.first(f"_c.{objective}").alias("champion"), F.count(near).alias("neighbours"), F.avg((near > 0).cast("int")).alias("profitable_fraction"), F.percentile(near, 0.5).alias("_median"))
+    return out.withColumn("score_retention", F.when(F.col("champion") > 0, F.col("_median") / F.col("champion"))).drop("_median")
+
+
+def verdict(criteria: list[tuple[str, Column]]) -> tuple[Column, Column]:
+    """(verdict, names not passed) of conditions, null where unavailable: that makes it inconclusive, otherwise a failure rejects."""
+    missing = F.array_compact(F.array(*(F.when(ok.isNull(), name) for name, ok in criteria)))
+    failed = F.array_compact(F.array(*(F.when(~ok, name) for name, ok in criteria)))
+    return F.when(F.size(missing) > 0, "inconclusive").when(F.size(failed) > 0, "rejected").otherwise("ready_for_paper"), F.when(F.size(missing) > 0, missing).otherwise(failed)
+
+
 def feature_score(rank_ic: Column, stable: Column, regime: Column, cluster_size: Column, clean: Column) -> Column:
     z = lambda x: F.coalesce(x, F.lit(0.0))
     raw = 0.4 * F.abs(z(rank_ic)) + 0.3 * z(stable) + 0.15 * z(regime) + 0.15 / F.greatest(cluster_size, F.lit(1))

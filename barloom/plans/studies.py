@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from datetime import datetime
 
@@ -151,7 +152,17 @@ def sharpe_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", "n", F.round("sharpe", 6).alias("sharpe"))
 
 
-@query()
+#: the normal distribution at c, within 8 deviations
+CDF = f"0.5 + c * exp(-c * c / 2) / {(2 * math.pi) ** 0.5!r} * list_reduce(list_concat([CAST(1 AS DOUBLE)], list_transform(range(120, 0, -1), lambda k: CAST(2 * k + 1 AS DOUBLE))), lambda a, k: a * c * c / k + 1)"
+
+
+@query(f"""WITH {EQ}, d AS (SELECT symbol, CAST(time AS DATE) AS date, arg_max(equity, time) AS equity FROM e GROUP BY ALL),
+a AS (SELECT symbol, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d GROUP BY symbol),
+f AS (SELECT symbol, date, last_value(equity IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date) AS equity FROM a LEFT JOIN d USING (symbol, date)),
+r AS (SELECT symbol, equity / lag(equity) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM f), s AS (SELECT symbol, count(ret) AS n, avg(ret) AS m, stddev_samp(ret) AS sd, stddev_pop(ret) AS sp FROM r GROUP BY symbol),
+k AS (SELECT symbol, any_value(n) AS n, any_value(m / sd) * sqrt(252) AS sh, avg(pow((ret - m) / sp, 3)) AS skew, avg(pow((ret - m) / sp, 4)) - 3 AS ex FROM r JOIN s USING (symbol) WHERE ret IS NOT NULL GROUP BY symbol),
+v AS (SELECT *, 1 - skew * sh + (ex - 1) / 4 * sh * sh AS v FROM k), z AS (SELECT symbol, n, CASE WHEN v > 0 THEN least(greatest((sh - {research.expected_max_sharpe(25)!r}) * sqrt(n - 1) / sqrt(v), -8), 8) END AS c FROM v)
+SELECT symbol, n, round(CASE WHEN c IS NULL THEN 0 ELSE {CDF} END, 6) AS dsr FROM z""")
 def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = research.sharpe(research.daily_returns(research.equity_curve(made_trades(spark, sf_dir))))
     return research.deflated_sharpe(out, trials=25).select("symbol", "n", F.round("dsr", 6).alias("dsr"))
@@ -191,7 +202,7 @@ BLOCKS = f"{FEATURE}, o AS (SELECT *, ceil(row_number() OVER {W} * 5 / count(*)
 def block_ics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = research.time_blocks(feature_rows(spark, sf_dir), 5)
     rank = lambda x: F.rank().over(Window.partitionBy("symbol", "block").orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy("symbol", "block", x)) - 1) / 2
-    return rows.withColumns({"rx": rank("x"), "ry": rank("y")}).groupBy("symbol", "block").agg(F.corr("rx", "ry").alias("rank_ic"), F.count(F.lit(1)).alias("n"))
+    return rows.withColumns({"rx": rank("x"), "ry": rank("y")}).groupBy("symbol", "block").agg(C.correlation("rx", "ry").alias("rank_ic"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {BLOCKS} SELECT symbol, round(least(greatest(1 - stddev_pop(rank_ic) / (abs(avg(rank_ic)) + 1e-12), 0), 1), 6) AS stability, round(greatest(count(*) FILTER (rank_ic > 0), count(*) FILTER (rank_ic < 0)) / (count(*) FILTER (rank_ic > 0) + count(*) FILTER (rank_ic < 0)), 6) AS sign_consistency, round(median(rank_ic), 6) AS median, round(stddev_pop(rank_ic), 6) AS dispersion FROM i GROUP BY symbol")
