@@ -4,7 +4,7 @@ A document has hundreds of 64-bit keys (anchors, windows, signature values). One
 cost more in row overhead than in keys, so every Arrow batch is reduced first: a key goes out once
 per batch, with its smallest owner in that batch, whatever the number of copies. A key that a third
 of all rows hold so reaches its bucket once per batch. Keys may have tags: 32 more bits of the key and its
-32-bit place in the owner. Equal keys with unequal bits are different keys.
+32-bit place in the owner. Equal keys with unequal bits are different keys. Tags and owners travel as planes of bytes.
 
 Keys meet in the bucket of their hash; what is found goes, packed, to the owners' buckets. A task holds one
 bucket in memory at a time. There are as many buckets as shuffle partitions, or more where the input is large for them.
@@ -30,6 +30,15 @@ LOW = np.uint64(0xFFFFFFFF)
 HIGH = np.uint64(32)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """64-bit values by the place of their bytes: places and ids have leading zeros, which so lie together and shrink on their way."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
 def buckets(df: DataFrame) -> int:
     """A multiple of the shuffle partitions; Spark's estimate of a table without statistics is no size at all."""
     n = tasks(df.sparkSession)
@@ -78,7 +87,7 @@ def _homeward(owner: np.ndarray, key: np.ndarray, tag: np.ndarray | None, first:
         starts = _starts(owner[a:z])
         part = order[a:z]
         sizes = np.diff(np.r_[starts, z - a]).astype(np.int32)
-        rows.append((int(home[a]), True, owner[a:z][starts].tobytes(), sizes.tobytes(), key[part].tobytes(), b"" if tag is None else tag[part].tobytes(), b"" if first is None else first[part].tobytes()))
+        rows.append((int(home[a]), True, owner[a:z][starts].tobytes(), sizes.tobytes(), key[part].tobytes(), b"" if tag is None else planes(tag[part]), b"" if first is None else planes(first[part])))
     return rows
 
 
@@ -95,7 +104,7 @@ def pack(owner: np.ndarray, key: np.ndarray, tag: np.ndarray | None, n: int, tel
     for a, z in zip(cuts, cuts[1:], strict=False):
         starts = _starts(owner[a:z])
         sizes = np.diff(np.r_[starts, z - a]).astype(np.int32)
-        rows.append((int(home[a]), False, owner[a:z][starts].tobytes(), sizes.tobytes(), key[a:z].tobytes(), b"" if tag is None else tag[a:z].tobytes(), b""))
+        rows.append((int(home[a]), False, owner[a:z][starts].tobytes(), sizes.tobytes(), key[a:z].tobytes(), b"" if tag is None else planes(tag[a:z]), b""))
     yield from _batch(rows)
 
 
@@ -141,7 +150,7 @@ def _batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 def _entries(rows: list[dict]) -> tuple:
     """Owner, key, tag and first of every entry; the last two are None where there are none."""
     joined = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), kind)
-    tags, firsts = joined("tags", np.uint64), joined("firsts", np.int64)
+    tags, firsts = (np.concatenate([from_planes(r[c], kind) for r in rows]) for c, kind in (("tags", np.uint64), ("firsts", np.int64)))
     return np.repeat(joined("owners", np.int64), joined("sizes", np.int32)), joined("keys", np.uint64), tags if len(tags) else None, firsts if len(firsts) else None
 
 
@@ -176,8 +185,8 @@ def deliver(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     for who, ends, keys, tags, firsts in notes(rows):
         for at in range(0, len(who), 5_000):
             part = range(at, min(at + 5_000, len(who)))
-            cut = lambda x: pa.array([b"" if x is None else x[ends[i] : ends[i + 1]].tobytes() for i in part], pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(who[at : at + 5_000]), cut(keys), cut(tags), cut(firsts)], schema=_NOTES)
+            cut = lambda x, form: pa.array([b"" if x is None else form(x[ends[i] : ends[i + 1]]) for i in part], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(who[at : at + 5_000]), cut(keys, np.ndarray.tobytes), cut(tags, planes), cut(firsts, planes)], schema=_NOTES)
 
 
 def held_by_others(packed: DataFrame, n: int, tell_first: bool, deliver=deliver, schema: str = NOTES) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, gram_hashes, tidy, word_hashes
-from .exchange import HIGH, LOW, PACKED, buckets, held_by_others, packing
+from .exchange import HIGH, LOW, PACKED, buckets, from_planes, held_by_others, packing
 
 ANCHOR = 6
 #: for the further bits of a window's hash
@@ -95,7 +95,7 @@ def factor(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
                 if not keys:
                     out.append((len(w), 0, [], b" ".join(w).decode()))
                     continue
-                dup, tag, reference = np.frombuffer(keys, np.uint64), np.frombuffer(tags, np.uint64), np.frombuffer(firsts, np.int64)
+                dup, tag, reference = np.frombuffer(keys, np.uint64), from_planes(tags, np.uint64), from_planes(firsts, np.int64)
                 order = np.lexsort((tag & LOW, reference, tag >> HIGH, dup))
                 dup, tag, reference = dup[order], tag[order], reference[order]
                 hashes = word_hashes(w)
