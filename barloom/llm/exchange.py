@@ -4,7 +4,8 @@ A document has hundreds of 64-bit keys (anchors, windows, signature values). One
 cost more in row overhead than in keys, so every Arrow batch is reduced first: a key goes out once
 per batch, with its smallest owner in that batch, whatever the number of copies. A key that a third
 of all rows hold so reaches its bucket once per batch. Keys may have tags: 32 more bits of the key and its
-32-bit place in the owner. Equal keys with unequal bits are different keys. Tags and owners travel as planes of bytes.
+32-bit place in the owner. Equal keys with unequal bits are different keys. Keys, tags and firsts travel as planes of bytes.
+Owners are told their keys without the bits: among one owner's keys, 64 bits tell enough.
 
 Keys meet in the bucket of their hash; what is found goes, packed, to the owners' buckets. A task holds one
 bucket in memory at a time. There are as many buckets as shuffle partitions, or more where the input is large for them.
@@ -69,11 +70,11 @@ def _sorted(owner: np.ndarray, key: np.ndarray, tag: np.ndarray | None) -> tuple
 
 
 def _told(owner: np.ndarray, key: np.ndarray, tag: np.ndarray | None, first: np.ndarray, some: np.ndarray, n: int) -> list[tuple]:
-    """Packed rows for the owners of `some` entries: the keys alone, or with tags also bits, place and owner of the first entry."""
+    """Packed rows for the owners of `some` entries: the keys alone, or with tags also place and owner of the first entry."""
     if tag is None:
         return _homeward(owner[some], key[some], None, None, n)
     at = first[some]
-    return _homeward(owner[some], key[some], (tag[some] >> HIGH << HIGH) | (tag[at] & LOW), owner[at], n)
+    return _homeward(owner[some], key[some], tag[at] & LOW, owner[at], n)
 
 
 def _homeward(owner: np.ndarray, key: np.ndarray, tag: np.ndarray | None, first: np.ndarray | None, n: int) -> list[tuple]:
@@ -87,7 +88,7 @@ def _homeward(owner: np.ndarray, key: np.ndarray, tag: np.ndarray | None, first:
         starts = _starts(owner[a:z])
         part = order[a:z]
         sizes = np.diff(np.r_[starts, z - a]).astype(np.int32)
-        rows.append((int(home[a]), True, owner[a:z][starts].tobytes(), sizes.tobytes(), key[part].tobytes(), b"" if tag is None else planes(tag[part]), b"" if first is None else planes(first[part])))
+        rows.append((int(home[a]), True, owner[a:z][starts].tobytes(), sizes.tobytes(), planes(key[part]), b"" if tag is None else planes(tag[part]), b"" if first is None else planes(first[part])))
     return rows
 
 
@@ -104,7 +105,7 @@ def pack(owner: np.ndarray, key: np.ndarray, tag: np.ndarray | None, n: int, tel
     for a, z in zip(cuts, cuts[1:], strict=False):
         starts = _starts(owner[a:z])
         sizes = np.diff(np.r_[starts, z - a]).astype(np.int32)
-        rows.append((int(home[a]), False, owner[a:z][starts].tobytes(), sizes.tobytes(), key[a:z].tobytes(), b"" if tag is None else planes(tag[a:z]), b""))
+        rows.append((int(home[a]), False, owner[a:z][starts].tobytes(), sizes.tobytes(), planes(key[a:z]), b"" if tag is None else planes(tag[a:z]), b""))
     yield from _batch(rows)
 
 
@@ -150,8 +151,8 @@ def _batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 def _entries(rows: list[dict]) -> tuple:
     """Owner, key, tag and first of every entry; the last two are None where there are none."""
     joined = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), kind)
-    tags, firsts = (np.concatenate([from_planes(r[c], kind) for r in rows]) for c, kind in (("tags", np.uint64), ("firsts", np.int64)))
-    return np.repeat(joined("owners", np.int64), joined("sizes", np.int32)), joined("keys", np.uint64), tags if len(tags) else None, firsts if len(firsts) else None
+    keys, tags, firsts = (np.concatenate([from_planes(r[c], kind) for r in rows]) for c, kind in (("keys", np.uint64), ("tags", np.uint64), ("firsts", np.int64)))
+    return np.repeat(joined("owners", np.int64), joined("sizes", np.int32)), keys, tags if len(tags) else None, firsts if len(firsts) else None
 
 
 def by_bucket(settle):
@@ -185,15 +186,14 @@ def deliver(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     for who, ends, keys, tags, firsts in notes(rows):
         for at in range(0, len(who), 5_000):
             part = range(at, min(at + 5_000, len(who)))
-            cut = lambda x, form: pa.array([b"" if x is None else form(x[ends[i] : ends[i + 1]]) for i in part], pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(who[at : at + 5_000]), cut(keys, np.ndarray.tobytes), cut(tags, planes), cut(firsts, planes)], schema=_NOTES)
+            cut = lambda x: pa.array([b"" if x is None else planes(x[ends[i] : ends[i + 1]]) for i in part], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(who[at : at + 5_000]), cut(keys), cut(tags), cut(firsts)], schema=_NOTES)
 
 
 def held_by_others(packed: DataFrame, n: int, tell_first: bool, deliver=deliver, schema: str = NOTES) -> DataFrame:
     """Of rows as `pack` makes them for `n` buckets: (owner, keys, tags, firsts), the owner's keys that other owners hold too.
 
-    Where keys have tags, `firsts` has the smallest owner known of each key, and the tag the key's further bits and the place
-    there. With `tell_first` unset, the smallest owner of a key isn't told of it. Every owner that is told gets
+    Where keys have tags, `firsts` has the smallest owner known of each key, and the tag the place there. With `tell_first` unset, the smallest owner of a key isn't told of it. Every owner that is told gets
     one row, unless another `deliver` (of `schema`) makes something else of a bucket's rows.
     """
 

@@ -7,9 +7,9 @@ names the next place of the same document, so that a factor is a passage of its
 place is elsewhere, the factor ends and the next one begins at that window: the two overlap by `words` - 1
 words, and no duplicate window is lost at a factor boundary. Words inside factors are removed.
 
-Windows are told apart by 96 bits of hash. Only windows that can match are looked up. The smallest hash among a
-window's 6-word runs is its anchor: equal windows have equal anchors, so a window whose anchor no other document
-has is in no other document.
+Windows are told apart by 96 bits of hash; a document finds those it is told of among its own by 64. Only windows that
+can match are looked up. The smallest hash among a window's 6-word runs is its anchor (48 bits travel): equal windows have
+equal anchors, so a window whose anchor no other document has is in no other document.
 
 Edge cases: null and empty texts have no words; texts shorter than a window have no factors. Rows of one id
 are one document: a repeated row isn't earlier than itself. Rows with a null id are neither references nor
@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, gram_hashes, tidy, word_hashes
-from .exchange import HIGH, LOW, PACKED, buckets, from_planes, held_by_others, packing
+from .exchange import HIGH, PACKED, buckets, from_planes, held_by_others, packing
 
 ANCHOR = 6
+#: an anchor's bits that travel: an anchor that only seems shared costs a look-up, and changes no result
+SENT = np.uint64(0xFFFFFFFFFFFF0000)
 #: for the further bits of a window's hash
 CHECK = np.uint64(0xD6E8FEB86659FD93)
 #: a factor's place, length, reference document and place there, in words
@@ -52,7 +54,7 @@ def anchors(hashes: np.ndarray, words: int) -> np.ndarray:
     out = grams[:n].copy()
     for j in range(1, words - ANCHOR + 1):
         np.minimum(out, grams[j : j + n], out=out)
-    return out
+    return out & SENT
 
 
 def parse(at: np.ndarray, reference: np.ndarray, place: np.ndarray, words: int) -> list[dict]:
@@ -78,7 +80,7 @@ def factor(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         if not live:
             return np.empty(0, np.uint64), np.empty(0, np.uint64)
         hashes = word_hashes(split(t))
-        at = np.flatnonzero(np.isin(anchors(hashes, words), np.frombuffer(live, np.uint64)))
+        at = np.flatnonzero(np.isin(anchors(hashes, words), from_planes(live, np.uint64)))
         return gram_hashes(hashes, words)[at], (gram_hashes(hashes, words, CHECK)[at] >> HIGH << HIGH) | at.astype(np.uint64)
 
     some = docs.join(alive, F.col(owner) == F.col(live_owner), "left")
@@ -95,20 +97,14 @@ def factor(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
                 if not keys:
                     out.append((len(w), 0, [], b" ".join(w).decode()))
                     continue
-                dup, tag, reference = np.frombuffer(keys, np.uint64), from_planes(tags, np.uint64), from_planes(firsts, np.int64)
-                order = np.lexsort((tag & LOW, reference, tag >> HIGH, dup))
-                dup, tag, reference = dup[order], tag[order], reference[order]
-                hashes = word_hashes(w)
-                grams, bits = gram_hashes(hashes, words), gram_hashes(hashes, words, CHECK) >> HIGH
-                # of notes with one hash and unequal further bits, which hardly occur, each is tried
-                place, at = np.searchsorted(dup, grams), np.zeros(len(grams), np.int64)
-                hit = np.zeros(len(grams), bool)
-                for step in range(int(np.unique(dup, return_counts=True)[1].max())):
-                    here = np.minimum(place + step, len(dup) - 1)
-                    new = ~hit & (dup[here] == grams) & (tag[here] >> HIGH == bits)
-                    at[new], hit = here[new], hit | new
+                dup, place, reference = from_planes(keys, np.uint64), from_planes(tags, np.int64), from_planes(firsts, np.int64)
+                order = np.lexsort((place, reference, dup))
+                dup, place, reference = dup[order], place[order], reference[order]
+                grams = gram_hashes(word_hashes(w), words)
+                at = np.minimum(np.searchsorted(dup, grams), len(dup) - 1)
+                hit = dup[at] == grams
                 start = np.flatnonzero(hit)
-                factors = parse(start, reference[at[start]], (tag[at[start]] & LOW).astype(np.int64), words)
+                factors = parse(start, reference[at[start]], place[at[start]], words)
                 edge = np.zeros(len(w) + 1, np.int64)
                 for f in factors:
                     edge[f["start"]] += 1
