@@ -38,8 +38,9 @@ from .components import components
 from .exchange import PACKED, buckets, from_planes, held_by_others, packing
 from .neardup import shingles
 
-#: rounds of hubs at most; another round is tried where more pairs than so many a posting are left
-ROUNDS, PAIRS = 8, 4
+#: rounds of hubs at most; another round follows where more pairs than so many a posting are left: MANY, or FEW if a quarter of
+#: the last round's pairs were alike
+ROUNDS, FEW, MANY = 8, 4, 64
 #: rows of one key that stay together; parts of the hash range that are counted
 SPREAD, PARTS = 1_000, 64
 
@@ -119,33 +120,39 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 def _beside(pairs: DataFrame, key: str, other: str, table: DataFrame) -> DataFrame:
     """`pairs` joined with `table` on `key`, the rows of a common key spread by `other`."""
     many = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("_salts")).where("_salts > 1")
+    if many.isEmpty():
+        return pairs.join(table, key)
     salts = F.coalesce("_salts", F.lit(1))
     left = pairs.join(many, key, "left").withColumn("_salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("_salts")
     right = table.join(many, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
+def _both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """`pairs` (a, b) with the columns of both classes' sets, as c_a and c_b; sets that no pair names don't travel."""
+    named = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    sets = sets.select("class", *columns).join(named, "class", "left_semi")
+    one = lambda key: sets.select(F.col("class").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in columns))
+    return _beside(_beside(pairs, "a", "b", one("a")), "b", "a", one("b"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b), by representative: the pairs of classes that the suffix filter lets through and whose sets are alike."""
-    for key, other in (("a", "b"), ("b", "a")):
-        pairs = _beside(pairs, key, other, sets.select(F.col("class").alias(key), F.col("n").alias(f"n_{key}"), F.col("parts").alias(f"p_{key}")))
-    most = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = written(pairs.where(most >= overlap(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
-    for key, other in (("a", "b"), ("b", "a")):
-        pairs = _beside(pairs, key, other, sets.select(F.col("class").alias(key), F.col("rep").alias(f"r_{key}"), F.col("set").alias(f"s_{key}")))
+    most = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    pairs = written(_both(pairs, sets, "n", "parts").where(most >= overlap(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch[c][i].as_buffer(), np.uint64) for c in ("s_a", "s_b"))
+                x, y = (np.frombuffer(batch[c][i].as_buffer(), np.uint64) for c in ("set_a", "set_b"))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
-                    a.append(batch["r_a"][i].as_py())
-                    b.append(batch["r_b"][i].as_py())
+                    a.append(batch["rep_a"][i].as_py())
+                    b.append(batch["rep_b"][i].as_py())
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return pairs.select("r_a", "r_b", "s_a", "s_b").mapInArrow(tidy(run), "a long, b long").where("a <> b").distinct()
+    return _both(pairs, sets, "rep", "set").select("rep_a", "rep_b", "set_a", "set_b").mapInArrow(tidy(run), "a long, b long").where("a <> b").distinct()
 
 
 def _lists(posts: DataFrame, reps: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -206,25 +213,23 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     least = placed.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most")
     links = written(placed.join(least, "id").where("rep > a").select("a", F.col("rep").alias("b")).distinct())
     labels = None if links.isEmpty() else components(links)
-    met = None
+    met, fruitful = None, True
     for turn in range(ROUNDS + 1):
         lists = written(_lists(posts, reps, labels))
         left = lists.agg(F.sum(F.when(F.col("label") != F.col("most"), F.col("size"))).alias("pairs"), F.count(F.lit(1)).alias("n")).first()
         if not left.pairs:
             break
-        last = turn == ROUNDS or left.pairs <= PAIRS * left.n
+        last = turn == ROUNDS or left.pairs <= (FEW if fruitful else MANY) * left.n
         pairs = _across(lists, percent) if last else _toward_hubs(lists, turn, percent)
         pairs = written(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"))
+        met = pairs if met is None else met.unionByName(pairs)
         new = written(_verified(pairs, sets, percent))
-        if new.isEmpty() and not last:  # hubs lead no further
-            last, met = True, pairs if met is None else met.unionByName(pairs)
-            new = written(_verified(written(_across(lists, percent).join(met, ["a", "b"], "left_anti")), sets, percent))
+        fruitful = 4 * new.count() >= pairs.count()
         if not new.isEmpty():
             links = written(links.unionByName(new))
             labels = components(links)
         if last:
             break
-        met = pairs if met is None else met.unionByName(pairs)
 
     out = placed.select("id", "n", F.col("rep").alias("component_id")) if labels is None else placed.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", "n", F.coalesce("label", "rep").alias("component_id"))
     alone = signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))

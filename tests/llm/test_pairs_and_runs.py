@@ -57,9 +57,9 @@ def like_texts(seed, n):
     return rows
 
 
-@pytest.mark.parametrize(("rounds", "pairs", "spread"), [(8, 4, 1000), (0, 4, 1000), (8, 0, 7)])
-def test_ngram_join(spark, monkeypatch, rounds, pairs, spread):
-    for name, value in (("ROUNDS", rounds), ("PAIRS", pairs), ("SPREAD", spread)):
+@pytest.mark.parametrize(("rounds", "many", "spread"), [(8, 64, 1000), (0, 64, 1000), (3, 0, 7)])
+def test_ngram_join(spark, monkeypatch, rounds, many, spread):
+    for name, value in (("ROUNDS", rounds), ("FEW", min(many, 4)), ("MANY", many), ("SPREAD", spread)):
         monkeypatch.setattr(ngramjoin, name, value)
     rows = like_texts(1, 150)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({"n": F.lit(1), "class": F.lit("x"), "set": F.lit("y"), "label": F.lit(0)})
