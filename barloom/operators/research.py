@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import bisect
 import math
 from datetime import datetime, timedelta
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import correlation
@@ -92,25 +89,41 @@ def stability(ics: DataFrame, by: str = "symbol", ic: str = "rank_ic") -> DataFr
     return ics.groupBy(by).agg(F.when(F.count(ic) >= 2, F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))).alias("stability"), F.try_divide(F.greatest(plus, minus), plus + minus).alias("sign_consistency"), F.percentile(ic, 0.5).alias("median"), F.stddev_pop(ic).alias("dispersion"))
 
 
+def numbered(rows: DataFrame, some: Column, by: str, name: str, chunk: str = "month") -> DataFrame:
+    """`rows` with `name`: how many rows of the series up to this one have `some`. Rows are counted by chunk, chunks by series."""
+    rows = rows.withColumn("_chunk", F.date_trunc(chunk, "time")).withColumn("_some", F.when(some, 1))
+    before = W.partitionBy(by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    sizes = rows.groupBy(by, "_chunk").agg(F.count("_some").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = W.partitionBy(by, "_chunk").orderBy("time").rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("_inside", F.count("_some").over(inside)).join(sizes, [by, "_chunk"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_chunk", "_some", "_inside", "_before")
+
+
+#: values that are counted one by one, as a power of two; longer pasts by merging halves
+PAST = 6
+
+
 def regimes(rows: DataFrame, vol: str, n: int = 3, by: str = "symbol") -> DataFrame:
-    """`rows` with regime, 0 (calm) to n - 1: the row's place among the quantiles of all volatility up to it."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("regime", T.IntegerType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time", kind="stable")
-        past: list[float] = []
-        found: list[int | None] = []
-        for v in pdf[vol]:
-            if pd.isna(v):
-                found.append(None)
-                continue
-            bisect.insort(past, v)
-            at = [(len(past) - 1) * i / n for i in range(1, n)]
-            cuts = [past[int(x)] + (x - int(x)) * (past[min(int(x) + 1, len(past) - 1)] - past[int(x)]) for x in at]
-            found.append(sum(v >= c for c in cuts) if len(past) >= n else None)
-        return pdf.assign(regime=pd.array(found, "Int32"))
-
-    return rows.groupBy(by).applyInPandas(run, schema)
+    """`rows` with regime, 0 (calm) to n - 1: the row's place among the quantiles of all volatility up to it.
+
+    Of m values so far, s of them at most the row's own, the i-th quantile is at most the row's value where (s - 1) n >= (m - 1) i. s
+    is counted by merging: of values in their order of time, each right half counts how many of its left neighbour's are at
+    most its own, half by half; within 64 values one by one. A null has no regime, nor have rows with fewer than n values so far.
+    """
+    value = F.nanvl(F.col(vol).cast("double"), F.lit(None).cast("double"))
+    keep = rows.columns
+    rows = numbered(rows.withColumn("_v", value), F.col("_v").isNotNull(), by, "_m")
+    at = F.col("_m") - 1
+    levels = int((rows.agg(F.max("_m")).first()[0] or 1) - 1 >> PAST).bit_length()
+    # rows without a value are in no half; they are spread
+    node = lambda k: F.when(F.col("_v").isNotNull(), F.shiftright(at, k)).otherwise(-1 - F.pmod(F.xxhash64("time"), F.lit(997)))
+    block = F.collect_list("_v").over(W.partitionBy(by, node(PAST)).orderBy("_m").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("_s", F.size(F.filter(block, lambda x: x <= F.col("_v"))).cast("long"))
+    for k in range(PAST, PAST + levels):
+        left = F.shiftright(at, k) % 2 == 0
+        counted = F.count(F.when(left & F.col("_v").isNotNull(), 1)).over(W.partitionBy(by, node(k + 1)).orderBy("_v").rangeBetween(W.unboundedPreceding, 0))
+        rows = rows.withColumn("_s", F.col("_s") + F.when(left, 0).otherwise(counted))
+    cuts = sum(((F.col("_s") - 1) * n >= (F.col("_m") - 1) * i).cast("int") for i in range(1, n))
+    return rows.select(*keep, F.when(F.col("_v").isNotNull() & (F.col("_m") >= n), cuts).cast("int").alias("regime"))
 
 
 def correlations(wide: DataFrame, features: list[str], by: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import columns as C
 from ..functions import labels
-from ..operators import analytics, research, series
+from ..operators import analytics, holding, research, series
 from .queries import D1, H1, TRADES, W, daily, full, hourly, lagged, made_trades, read, rounded, ticks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,14 +127,53 @@ def indicator_at_bar_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 m = full("close", 20, "avg(close)")
 
 
-@query(f"""WITH {D1}, y AS (SELECT *, {m} * 1.01 AS u, {m} * 0.99 AS l, row_number() OVER {W} AS i FROM bars), s AS (SELECT *, coalesce(close > u AND {lagged('close')} <= {lagged('u')}, false) AS buy, coalesce(close < l AND {lagged('close')} >= {lagged('l')}, false) AS sell FROM y)
-SELECT symbol, time, buy, sell, coalesce(lag(buy, 10) OVER {W}, false) AS exit_long, coalesce(lag(sell, 10) OVER {W}, false) AS exit_short FROM s""")
-def strategy_fma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crosses of a band round the mean, each held for a fixed number of bars whatever else is signalled."""
+HELD = """e AS (SELECT symbol, i, CASE WHEN buy THEN 1 ELSE -1 END AS side FROM s WHERE buy OR sell),
+k AS (SELECT symbol, min(i) AS i FROM e GROUP BY symbol UNION ALL SELECT k.symbol, (SELECT min(e.i) FROM e WHERE e.symbol = k.symbol AND e.i >= k.i + {n} + 1) FROM k WHERE k.i IS NOT NULL),
+h AS (SELECT symbol, i, side FROM k JOIN e USING (symbol, i))"""
+HELD_SIGNALS = "SELECT s.symbol, s.time, buy, sell, coalesce(a.side, 0) AS taken, coalesce(b.side > 0, false) AS exit_long, coalesce(b.side < 0, false) AS exit_short FROM s LEFT JOIN h a ON a.symbol = s.symbol AND a.i = s.i LEFT JOIN h b ON b.symbol = s.symbol AND b.i + {n} + 1 = s.i"
+HELD_TRADES = "SELECT h.symbol, CASE WHEN side > 0 THEN 'BUY' ELSE 'SELL' END AS action, x.time AS entry_time, round(x.open, 6) AS entry_price, y.time AS exit_time, round(y.open, 6) AS exit_price, round((y.open - x.open) * side, 4) AS pnl, y.i - x.i AS bars FROM h JOIN s x ON x.symbol = h.symbol AND x.i = h.i + 1 JOIN s y ON y.symbol = h.symbol AND y.i = h.i + {n} + 2"
+FMA = f"""{D1}, y AS (SELECT *, {m} * 1.01 AS u, {m} * 0.99 AS l, row_number() OVER {W} AS i FROM bars), s AS (SELECT *, coalesce(close > u AND {lagged('close')} <= {lagged('u')}, false) AS buy, coalesce(close < l AND {lagged('close')} >= {lagged('l')}, false) AS sell FROM y),
+{HELD.format(n=10)}"""
+TRB = f"""{D1}, y AS (SELECT *, {full("close", 20, "max(close)", 1)} AS u, {full("close", 20, "min(close)", 1)} AS l, row_number() OVER {W} AS i FROM bars), s AS (SELECT *, coalesce({lagged('close')} <= u AND close > u, false) AS buy, coalesce({lagged('close')} >= l AND close < l, false) AS sell FROM y),
+{HELD.format(n=5)}"""
+
+
+def fma(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = C.sma(c("close"), 20)
     df = daily(spark, sf_dir).withColumns({"u": mean * 1.01, "l": mean * 0.99})
-    df = df.withColumns({"buy": C.cross_above(c("close"), c("u")), "sell": C.cross_below(c("close"), c("l"))})
-    return df.select("symbol", "time", "buy", "sell", C.false_if_null(C.lag(c("buy"), 10)).alias("exit_long"), C.false_if_null(C.lag(c("sell"), 10)).alias("exit_short"))
+    return df.withColumns({"buy": C.cross_above(c("close"), c("u")), "sell": C.cross_below(c("close"), c("l"))})
+
+
+def trb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    channel = C.trb_channel(c("close"), 20, 0.0)
+    df = daily(spark, sf_dir).withColumns({"u": channel["channel_high"], "l": channel["channel_low"]})
+    return df.withColumns({"buy": C.false_if_null((C.lag(c("close")) <= c("u")) & (c("close") > c("u"))), "sell": C.false_if_null((C.lag(c("close")) >= c("l")) & (c("close") < c("l")))})
+
+
+@query(f"WITH RECURSIVE {FMA} {HELD_SIGNALS.format(n=10)}")
+def strategy_fma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crosses of a band round the mean; each that is taken is held for ten bars whatever else is signalled."""
+    return holding.fixed_holding(fma(spark, sf_dir), 10).select("symbol", "time", "buy", "sell", "taken", "exit_long", "exit_short")
+
+
+@query(f"WITH RECURSIVE {TRB} {HELD_SIGNALS.format(n=5)}")
+def strategy_trb_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breakouts of the last 20 closes' range, each that is taken held for five bars."""
+    return holding.fixed_holding(trb(spark, sf_dir), 5).select("symbol", "time", "buy", "sell", "taken", "exit_long", "exit_short")
+
+
+def _rounded_trades(bars: DataFrame, n: int) -> DataFrame:
+    return holding.holding_trades(bars, n).select("symbol", "action", "entry_time", F.round("entry_price", 6).alias("entry_price"), "exit_time", F.round("exit_price", 6).alias("exit_price"), F.round("pnl", 4).alias("pnl"), "bars")
+
+
+@query(f"WITH RECURSIVE {FMA} {HELD_TRADES.format(n=10)}")
+def fma_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_trades(fma(spark, sf_dir), 10)
+
+
+@query(f"WITH RECURSIVE {TRB} {HELD_TRADES.format(n=5)}")
+def trb_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_trades(trb(spark, sf_dir), 5)
 
 
 # run tables

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
-from ..operators import research
+from ..operators import information, research
 from .desk import WINDOWS
 from .queries import D1, W, daily, full, lagged, read
 from .studies import CDF
@@ -126,6 +126,22 @@ def permutation_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*KEYS, "n", *(F.round(x, 6).alias(x) for x in ("rank_ic", "null_floor", "deflated")))
 
 
+NEIGHBOURS = f"""{MATRIX}, {LONG.format(source="(SELECT symbol, time, y, m10, m21, m5, reach FROM mx)")},
+z AS (SELECT symbol, feature, time, x / CASE WHEN stddev_pop(x) OVER g > 0 THEN stddev_pop(x) OVER g ELSE 1 END AS x, y / CASE WHEN stddev_pop(y) OVER g > 0 THEN stddev_pop(y) OVER g ELSE 1 END AS y FROM l WINDOW g AS (PARTITION BY symbol, feature)),
+p AS (SELECT a.symbol, a.feature, a.time, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS d FROM z a JOIN z b ON a.symbol = b.symbol AND a.feature = b.feature AND a.time <> b.time),
+r AS (SELECT symbol, feature, time, list_sort(min(d, 3))[3] AS r FROM p GROUP BY ALL),
+c AS (SELECT symbol, feature, time, count(*) FILTER (dx < r OR dx = 0) AS nx, count(*) FILTER (dy < r OR dy = 0) AS ny FROM p JOIN r USING (symbol, feature, time) GROUP BY ALL),
+h AS (SELECT m, sum(1.0::DOUBLE / m) OVER (ORDER BY m) - 1.0::DOUBLE / m - {research.EULER!r} AS psi FROM range(1, 20000) t(m)), n AS (SELECT symbol, feature, count(*) AS n FROM c GROUP BY ALL)"""
+
+
+@query(f"""WITH {NEIGHBOURS} SELECT symbol, feature, any_value(n.n) AS n, round(greatest(any_value(hn.psi) + 1.5 - {research.EULER!r} - avg(hx.psi + hy.psi), 0), 6) AS mutual_info
+FROM c JOIN n USING (symbol, feature) JOIN h hn ON hn.m = n.n JOIN h hx ON hx.m = nx + 1 JOIN h hy ON hy.m = ny + 1 GROUP BY symbol, feature""")
+def mutual_information_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each feature's mutual information with the target, from three nearest neighbours."""
+    out = information.mutual_information(long(matrix(spark, sf_dir)), "x", "y", KEYS)
+    return out.select(*KEYS, "n", F.round("mutual_info", 6).alias("mutual_info"))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gain and trades of each study's window and candidate."""
     return read(spark, sf_dir, "part").groupBy(c("p_brand").alias("study"), (c("p_size") % 6).cast("int").alias("win"), (c("p_partkey") % 4).alias("candidate")).agg((F.sum("p_retailprice") - 3000).alias("gain"), F.count(F.lit(1)).alias("trades"))
