@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
-from ..operators import information, research
+from ..operators import bars, causality, information, research
+from . import catalogue
 from .desk import WINDOWS
-from .queries import D1, W, daily, full, lagged, read
+from .queries import D1, H1, W, daily, full, hourly, lagged, over, read
 from .studies import CDF
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,11 +44,14 @@ def ic_sql(source: str, keys: str) -> str:
     return f"(SELECT {keys}, count(*) AS n, {corr("rx", "ry")} AS rank_ic FROM (SELECT *, {rank('x')} AS rx, {rank('y')} AS ry FROM {source}) GROUP BY {keys})"
 
 
+def features(df: DataFrame) -> DataFrame:
+    return df.withColumns({f"m{n}": C.momentum(c("close"), n) for n in (5, 10, 21)} | {"reach": C.ratio(c("high"), c("low"))})
+
+
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, time, close, features, y): rows that have all features and the target."""
-    made = {f"m{n}": C.momentum(c("close"), n) for n in (5, 10, 21)}
-    made |= {"reach": C.ratio(c("high"), c("low")), "y": C.forward_return(c("close"), 5)}
-    return daily(spark, sf_dir).select("symbol", "time", "close", *(x.alias(n) for n, x in made.items())).dropna(subset=[*FEATURES, "y"])
+    made = features(daily(spark, sf_dir)).withColumn("y", C.forward_return(c("close"), 5))
+    return made.select("symbol", "time", "close", "m5", "m10", "m21", "reach", "y").dropna(subset=[*FEATURES, "y"])
 
 
 def long(rows: DataFrame, *more: str) -> DataFrame:
@@ -99,7 +103,9 @@ def feature_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = research.clusters(research.correlations(rows, FEATURES, "symbol"), FEATURES, "symbol", 0.5)
     groups = groups.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("symbol", "cluster")))
     out = seen.join(stable, "key").join(research.rank_ics(long(rows), KEYS).drop("n"), KEYS).join(terms, KEYS, "left").join(groups, KEYS)
-    out = out.withColumn("score", research.feature_score(c("rank_ic"), c("stability"), c("regime_term"), c("size"), F.lit(True)))
+    clean = causality.status(causality.check(daily(spark, sf_dir), features, FEATURES, (30, 300))).select("feature", (c("status") == "clean").alias("clean"))
+    out = out.join(F.broadcast(clean), "feature")  # a row a feature
+    out = out.withColumn("score", research.feature_score(c("rank_ic"), c("stability"), c("regime_term"), c("size"), c("clean")))
     best = Window.partitionBy("symbol", "cluster").orderBy(F.desc("score"), "feature")
     out = out.withColumn("representative", F.row_number().over(best) == 1)
     decision, reasons = research.admission(c("n"), c("folds"), c("rank_ic"), c("sign_consistency"), c("dispersion"), {"n": 100, "folds": 5, "rank_ic": 0.02, "sign": 0.6, "dispersion": 0.3})
@@ -142,6 +148,68 @@ def mutual_information_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*KEYS, "n", F.round("mutual_info", 6).alias("mutual_info"))
 
 
+# the catalogue's features on hourly bars, for each series with the last completed close of another
+CLOSE, SESSION = "close", "PARTITION BY symbol, CAST(time AS DATE)"
+MATRIX_FEATURES = {
+    "ma": {}, "ema": {}, "rsi": {}, "atr": {}, "macd": {}, "macd_signal": {}, "macd_histogram": {}, "bollinger_upper": {}, "bollinger_middle": {}, "bollinger_lower": {}, "donchian_upper": {}, "donchian_lower": {},
+    "momentum": {"lookback_bars": 24}, "realized_vol": {"window": 21}, "tsmom": {"lookback_bars": 48}, "zscore": {"window": 20}, "rank": {"window": 20}, "pct_change": {}, "clip": {}, "minutes_from_open": {}, "time_of_day": {}, "day_of_week": {}, "month_of_year": {},
+    "prev_session_high": {}, "prev_session_low": {}, "prev_session_close": {}, "session_gap": {}, "dist_prev_session_high_atr": {}, "opening_range_high": {}, "d1_prev_low": {}, "d1_trend": {}, "exog_close": {"symbol": "view"}, "exog_return": {"symbol": "view"},
+}
+_ewm = lambda xs, alpha: f"list_reduce({xs}, lambda a, v: a + {alpha!r} * (v - a))"
+_bb, _dev = full("close", 20, "avg(close)"), full("close", 20, "stddev_samp(close)")
+_of = {
+    "ma": (20, _bb), "ema": (20, "ema"), "rsi": (14, "CASE WHEN l = 0 AND g > 0 THEN 100 WHEN l > 0 THEN 100 - 100 / (1 + g / l) END"), "atr": (14, "atr"), "macd": (26, "macd"), "macd_signal": (26, "signal"), "macd_histogram": (26, "macd - signal"),
+    "bollinger_upper": (20, f"{_bb} + 2 * {_dev}"), "bollinger_middle": (20, _bb), "bollinger_lower": (20, f"{_bb} - 2 * {_dev}"), "donchian_upper": (20, full("high", 20, "max(high)", 1)), "donchian_lower": (20, full("low", 20, "min(low)", 1)),
+    "momentum": (24, f"close / nullif({lagged('close', 24)}, 0) - 1"), "realized_vol": (21, full("r", 21, "stddev_samp(r)") + " * sqrt(252)"), "tsmom": (48, f"close / nullif({lagged('close', 48)}, 0) - 1"), "zscore": (20, f"(close - {_bb}) / nullif({_dev}, 0)"),
+    "rank": (20, f"CASE WHEN count(close) OVER {over(20)} = 20 THEN len(list_filter(list(close) OVER {over(20)}, lambda x: x <= close)) / 20.0 END"), "pct_change": (1, f"close / nullif({lagged('close')}, 0) - 1"), "clip": (0, "least(greatest(close, -3), 3)"),
+    "minutes_from_open": (0, "CASE WHEN m >= 540 THEN m - 540 END"), "time_of_day": (0, "(least(greatest(m, 540), 1080) - 540) / 540.0"), "day_of_week": (0, "isodow(time) - 1"), "month_of_year": (0, "month(time)"),
+    "prev_session_high": (1, "ph"), "prev_session_low": (1, "pl"), "prev_session_close": (1, "pc"), "session_gap": (1, "gap"), "dist_prev_session_high_atr": (1, "(close - ph) / nullif(atr, 0)"), "opening_range_high": (0, f"CASE WHEN m >= 600 THEN max(CASE WHEN m BETWEEN 540 AND 600 THEN high END) OVER ({SESSION}) END"),
+    "d1_prev_low": (1, "pl"), "d1_trend": (1, "trend"), "exog_close": (0, "exog"), "exog_return": (8, f"exog / nullif({lagged('exog', 8)}, 0) - 1"),
+}
+
+
+@query(f"""WITH {H1}, t AS (SELECT *, hour(time) * 60 + minute(time) AS m, row_number() OVER {W} AS i, CASE WHEN close > 0 AND {lagged("close")} > 0 THEN ln(close / {lagged("close")}) END AS r, greatest(high - low, abs(high - {lagged("close")}), abs(low - {lagged("close")})) AS tr, close - {lagged("close")} AS d FROM bars),
+x AS (SELECT symbol, list(close ORDER BY time) AS xs, list(tr ORDER BY time) AS ts, list(greatest(d, 0) ORDER BY time) FILTER (d IS NOT NULL) AS gs, list(greatest(-d, 0) ORDER BY time) FILTER (d IS NOT NULL) AS ls FROM t GROUP BY symbol),
+y AS (SELECT symbol, i, {_ewm("xs[1:i]", 2 / 21)} AS ema, {_ewm("xs[1:i]", 2 / 13)} - {_ewm("xs[1:i]", 2 / 27)} AS macd, CASE WHEN i >= 14 THEN {_ewm("ts[1:i]", 1 / 14)} END AS atr, CASE WHEN i > 14 THEN {_ewm("gs[1:i - 1]", 1 / 14)} END AS g, CASE WHEN i > 14 THEN {_ewm("ls[1:i - 1]", 1 / 14)} END AS l FROM (SELECT *, unnest(generate_series(1, len(xs))) AS i FROM x)),
+q AS (SELECT symbol, list(macd ORDER BY i) AS ms FROM y GROUP BY symbol), z AS (SELECT y.*, {_ewm("ms[1:i]", 2 / 10)} AS signal FROM y JOIN q USING (symbol)),
+dd AS (SELECT symbol, CAST(time AS DATE) AS date, arg_min(open, time) AS open, max(high) AS high, min(low) AS low, arg_max(close, time) AS close FROM bars GROUP BY ALL), dw AS (SELECT *, lag(high) OVER o AS ph, lag(low) OVER o AS pl, lag(close) OVER o AS pc, sign(close / nullif(lag(close, 5) OVER o, 0) - 1) AS tr FROM dd WINDOW o AS (PARTITION BY symbol ORDER BY date)),
+dv AS (SELECT symbol, date, ph, pl, pc, open / nullif(pc, 0) - 1 AS gap, lag(tr) OVER (PARTITION BY symbol ORDER BY date) AS trend FROM dw), ex AS (SELECT time + INTERVAL 1 HOUR AS at, close AS exog FROM bars WHERE symbol = 'view'),
+j AS (SELECT t.*, ema, macd, atr, g, l, signal, ph, pl, pc, gap, trend FROM t JOIN z USING (symbol, i) JOIN dv ON dv.symbol = t.symbol AND dv.date = CAST(time AS DATE)), k AS (SELECT j.*, exog FROM j ASOF LEFT JOIN ex ON j.time >= ex.at),
+v AS (SELECT symbol, time, i, {", ".join(f"{e} AS {n}" for n, (_, e) in _of.items())} FROM k)
+SELECT symbol, time, {", ".join(f"round(CASE WHEN i > {skip} THEN CAST({n} AS DOUBLE) END, 6) AS {n}" for n, (skip, _) in _of.items())} FROM v""")
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """33 features of the catalogue, all series, one row a bar."""
+    df = hourly(spark, sf_dir)
+    exog = df.where("symbol = 'view'").select((c("time") + F.expr("interval 1 hour")).alias("at"), c("close").alias("exog_view"), F.lit(1).alias("one"))
+    exog = exog.join(df.select("symbol").distinct().withColumn("one", F.lit(1)), "one").drop("one")
+    df = bars.asof_join(df, exog, ["symbol"], "time", "at", ["exog_view"])
+    requests = [catalogue.Request(n, tuple(p.items())) for n, p in MATRIX_FEATURES.items()]
+    made = catalogue.feature_matrix(df, requests)
+    ids = {r.name: catalogue.feature_id(*r.resolved()) for r in requests}
+    return made.select("symbol", "time", *(F.round(c(f"`{i}`").cast("double"), 6).alias(n) for n, i in ids.items()))
+
+
+LEAKY = {"m10": (C.momentum, 10), "sma20": (C.sma, 20), "z20": (C.zscore, 20)}
+CUTS = (25, 60, 333, 1000)
+
+
+def leaky(df: DataFrame) -> DataFrame:
+    """Three features of the past and one that looks ahead."""
+    return df.withColumns({n: f(c("close"), k) for n, (f, k) in LEAKY.items()} | {"ahead": F.lead("close").over(C.series())})
+
+
+_leaky = {"m10": f"close / nullif({lagged('close', 10)}, 0) - 1", "sma20": _bb, "z20": f"(close - {_bb}) / nullif({_dev}, 0)", "ahead": f"lead(close) OVER {W}"}
+
+
+@query(f"""WITH {D1}, b AS (SELECT *, row_number() OVER {W} - 1 AS i FROM bars), f AS (SELECT symbol, time, i, {", ".join(f"{e} AS {n}" for n, e in _leaky.items())} FROM b),
+p AS (SELECT b.symbol || ':' || cut AS symbol, b.symbol AS origin, cut, time, close, i FROM b, (SELECT unnest({list(CUTS)}) AS cut) WHERE i <= cut), g AS (SELECT origin, cut, i, {", ".join(f"{e} AS {n}" for n, e in _leaky.items())} FROM p),
+u AS (SELECT f.symbol, g.cut, unnest([{", ".join(f"{{'feature': '{n}', 'a': f.{n}, 'b': g.{n}}}" for n in _leaky)}], recursive := true) FROM f JOIN g ON f.symbol = g.origin AND f.i = g.cut AND g.i = g.cut)
+SELECT feature, count(*) AS cuts, count(*) FILTER ((a IS NULL) <> (b IS NULL) OR abs(a - b) > 1e-9 + 1e-9 * abs(a)) AS leaks, CASE WHEN count(*) FILTER ((a IS NULL) <> (b IS NULL) OR abs(a - b) > 1e-9 + 1e-9 * abs(a)) > 0 THEN 'suspect' ELSE 'clean' END AS status FROM u GROUP BY feature""")
+def causality_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Do features at sampled bars change once the later bars are gone? The one that looks ahead is found."""
+    return causality.status(causality.check(daily(spark, sf_dir), leaky, [*LEAKY, "ahead"], CUTS))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gain and trades of each study's window and candidate."""
     return read(spark, sf_dir, "part").groupBy(c("p_brand").alias("study"), (c("p_size") % 6).cast("int").alias("win"), (c("p_partkey") % 4).alias("candidate")).agg((F.sum("p_retailprice") - 3000).alias("gain"), F.count(F.lit(1)).alias("trades"))

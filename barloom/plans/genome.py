@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
-from ..operators import bars, folds
+from ..operators import bars, folds, holding
 
 MAX_NODES, MAX_DEPTH = 24, 12
 REGIME_QUANTILE = 0.6
@@ -52,10 +52,20 @@ class Build:
         return F.col(name)
 
     def smooth(self, x: Column, alpha: float, least: int = 0) -> Column:
-        self.put(x.cast("double"))
-        self.made += 1
-        self.df = folds.smoothed(self.df, {(name := f"_n{self.made}"): (f"_n{self.made - 1}", alpha, least)})
-        return F.nanvl(F.col(name), F.lit(None).cast("double"))
+        return self.smooth_all([(x, alpha, least)])[0]
+
+    def smooth_all(self, means: list[tuple[Column, float, int]]) -> list[Column]:
+        """Averages that don't depend on each other, (value, alpha, least rows) each, in one pass."""
+        columns = {}
+        for x, alpha, least in means:
+            self.put(x.cast("double"))
+            self.made += 1
+            columns[f"_n{self.made}"] = (f"_n{self.made - 1}", alpha, least)
+        self.average(columns)
+        return [F.col(name) for name in columns]
+
+    def average(self, columns: dict[str, tuple[str, float, int]]) -> None:
+        self.df = folds.smoothed(self.df, columns)
 
     def session(self, name: str) -> Column:
         if not self.context:
@@ -71,6 +81,34 @@ class Build:
         return F.col(f"_or_{side}_{open_minute}_{minutes}")
 
 
+class Gathered(Build):
+    """Nodes that don't read each other, built together: the averages of one depth, of all nodes, are one pass."""
+
+    def __init__(self, df: DataFrame):
+        super().__init__(df)
+        self.depth, self.puts, self.averages = 0, [[]], []
+
+    def put(self, x: Column) -> Column:
+        self.made += 1
+        self.puts[self.depth].append((name := f"_n{self.made}", x))
+        return F.col(name)
+
+    def average(self, columns: dict[str, tuple[str, float, int]]) -> None:
+        if self.depth == len(self.averages):
+            self.averages.append({})
+            self.puts.append([])
+        self.averages[self.depth] |= columns
+        self.depth += 1
+
+    def finish(self) -> DataFrame:
+        for depth, puts in enumerate(self.puts):
+            for name, x in puts:
+                self.df = self.df.withColumn(name, x)
+            if depth < len(self.averages):
+                self.df = folds.smoothed(self.df, self.averages[depth])
+        return self.df
+
+
 def minute(text: str) -> int:
     h, m = text.split(":")
     if not (h.isdigit() and m.isdigit() and int(h) < 24 and int(m) < 60):
@@ -119,13 +157,12 @@ def atr(b: Build, n: int) -> Column:
 
 def rsi(b: Build, x: Column, n: int) -> Column:
     d = b.put(x - C.lag(x))
-    up = b.smooth(F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), 1 / n, n)
-    down = b.smooth(F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))), 1 / n, n)
+    up, down = b.smooth_all([(F.when(d.isNotNull(), F.greatest(x, F.lit(0.0))), 1 / n, n) for x in (d, -d)])
     return F.when((down == 0) & (up > 0), 100.0).otherwise(100 - 100 / (1 + C.div(up, down)))
 
 
 def macd(b: Build, n: Node, ins: list[Column]) -> dict[str, Column]:
-    fast, slow = (b.smooth(ins[0], folds.ema_alpha(n.params.get(p, d))) for p, d in (("fast_period", 12), ("slow_period", 26)))
+    fast, slow = b.smooth_all([(ins[0], folds.ema_alpha(n.params.get(p, d)), 0) for p, d in (("fast_period", 12), ("slow_period", 26))])
     line = b.put(fast - slow)
     signal = b.smooth(line, folds.ema_alpha(n.params.get("signal_period", 9)))
     return {"macd": line, "macd_signal": signal, "macd_histogram": line - signal}
@@ -189,6 +226,11 @@ def middle_band(b: Build, n: Node, i: list[Column]) -> dict[str, Column]:
     return {"exit_long": C.cross_above(i[0], i[1]), "exit_short": C.cross_below(i[0], i[1])}
 
 
+def policy(b: Build, n: Node, i: list[Column]) -> dict[str, Column]:
+    """No columns: `signals` reads the node where the graph's exits name it."""
+    return {}
+
+
 P = lambda name, default: lambda n: n.params.get(name, default)
 period, lookback, window = P("period", 20), P("lookback_bars", 20), P("window", 20)
 opens, closes = P("session_open", "09:00"), P("session_close", "18:00")
@@ -250,10 +292,10 @@ KINDS: dict[str, Kind] = {
     "logic.and": Kind(lambda b, n, i: C.false_if_null(i[0]) & C.false_if_null(i[1]), (2, 2), boolean=True, takes_bool=True),
     "logic.or": Kind(lambda b, n, i: C.false_if_null(i[0]) | C.false_if_null(i[1]), (2, 2), boolean=True, takes_bool=True),
     "logic.not": Kind(lambda b, n, i: C.negate(i[0]), (1, 1), boolean=True, takes_bool=True),
-    "exit.opposite_signal": Kind(lambda b, n, i: {}),
+    "exit.opposite_signal": Kind(policy),
     "exit.middle_band": Kind(middle_band, (2, 2), boolean=True),
-    "exit.fixed_holding": Kind(lambda b, n, i: {}, params=("holding_period",)),
-    "exit.rebalance": Kind(lambda b, n, i: {}),
+    "exit.fixed_holding": Kind(policy, params=("holding_period",)),
+    "exit.rebalance": Kind(policy),
 }
 BOOLEAN_PORTS = {"buy_signal", "sell_signal", "exit_long", "exit_short"}
 
@@ -324,6 +366,35 @@ def compile_graph(df: DataFrame, nodes: tuple[Node, ...], trial: dict[str, Any]
     return build.df.select(keep)
 
 
+def signals(df: DataFrame, nodes: tuple[Node, ...], entry_long: str, entry_short: str, exit_long: str, exit_short: str, trial: dict[str, Any] | None = None) -> DataFrame:
+    """`df` with buy, sell, exit_long and exit_short of a graph whose entries and exits are named as "node" or "node:port".
+
+    `exit.opposite_signal` closes where the other side is entered, `exit.middle_band` by its own crosses; `exit.rebalance` never: entries
+    turn the position. `exit.fixed_holding` on either side closes both, so many bars after each entry that is taken (`taken` tells
+    which). Any other node closes where it is true.
+    """
+    by_id = {n.id: n for n in resolved(nodes, trial or {})}
+    made = compile_graph(df, nodes, trial)
+    ref = lambda name: F.col(f"g_{name.replace(':', '__')}")
+    out = made.select(*df.columns, *(C.false_if_null(ref(r)).alias(c) for c, r in (("buy", entry_long), ("sell", entry_short))), *(c for c in made.columns if c not in df.columns))
+    leave = {}
+    for side, name, other in (("exit_long", exit_long, "sell"), ("exit_short", exit_short, "buy")):
+        node = by_id[name.split(":")[0]]
+        if node.kind == "exit.opposite_signal":
+            leave[side] = F.col(other)
+        elif node.kind == "exit.rebalance":
+            leave[side] = F.lit(False)
+        elif node.kind == "exit.middle_band":
+            leave[side] = C.false_if_null(ref(f"{node.id}:{side}"))
+        elif node.kind != "exit.fixed_holding":
+            leave[side] = C.false_if_null(ref(name))
+    held = next((by_id[x.split(":")[0]].params.get("holding_period", 10) for x in (exit_long, exit_short) if by_id[x.split(":")[0]].kind == "exit.fixed_holding"), None)
+    if held is not None:
+        return holding.fixed_holding(out.select(*df.columns, "buy", "sell"), held).select(*df.columns, "buy", "sell", "exit_long", "exit_short", "taken")
+    out = out.withColumns(leave)
+    return out.select(*df.columns, "buy", "sell", "exit_long", "exit_short")
+
+
 def activity(df: DataFrame, signals: list[str]) -> DataFrame:
     """Rising edges of each signal by series; a series' first row is none."""
     edges = df.select("symbol", *(C.false_if_null(F.col(s) & ~C.lag(F.col(s))).cast("int").alias(s) for s in signals))
