@@ -41,5 +41,15 @@ def mid(bid: Column, ask: Column) -> Column:
 
 
 def iso(time: Column) -> Column:
-    """UTC, with the offset."""
+    """UTC in whole seconds, with Z."""
+    return F.date_format(time.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def iso_millis(time_msc: Column) -> Column:
+    """UTC of milliseconds since 1970, with milliseconds and Z."""
+    return F.date_format(F.timestamp_millis(time_msc), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def iso_offset(time: Column) -> Column:
+    """UTC in whole seconds, with the offset, as fingerprints have it."""
     return F.date_format(time.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

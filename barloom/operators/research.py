@@ -16,10 +16,19 @@ EULER = 0.5772156649015329  # the Euler-Mascheroni constant
 
 
 # equity and Sharpe
-def equity_curve(trades: DataFrame, by: str = "symbol", capital: float = 100_000.0) -> DataFrame:
-    """(by, time, equity): the capital after each exit time."""
-    at = trades.groupBy(by, F.col("exit_time").alias("time")).agg(F.sum("pnl").alias("pnl"))
-    return at.select(by, "time", (F.lit(capital) + F.sum("pnl").over(W.partitionBy(by).orderBy("time"))).alias("equity"))
+def equity_curve(trades: DataFrame, start: datetime, end: datetime, by: str = "symbol", capital: float = 100_000.0) -> DataFrame:
+    """(by, time, equity): the capital at the start, what it is after each exit time, and at the end; of one time's the last counts.
+
+    A trade without an exit time takes no part, and one without a profit adds nothing.
+    """
+    closed = trades.where("exit_time is not null").select(by, F.col("exit_time").alias("time"), F.coalesce("pnl", F.lit(0.0)).alias("pnl"))
+    at = closed.groupBy(by, "time").agg(F.sum("pnl").alias("pnl"))
+    curve = at.select(by, "time", (F.lit(capital) + F.sum("pnl").over(W.partitionBy(by).orderBy("time"))).alias("equity"), F.lit(1).alias("_o"))
+    kind = trades.schema["exit_time"].dataType
+    point = lambda t, equity, o: F.struct(F.lit(t).cast(kind).alias("time"), equity.alias("equity"), F.lit(o).alias("_o"))
+    total = trades.groupBy(by).agg((F.lit(capital) + F.coalesce(F.sum(F.when(F.col("exit_time").isNotNull(), F.col("pnl"))), F.lit(0.0))).alias("_t"))
+    ends = total.select(by, F.explode(F.array(point(start, F.lit(capital), 0), point(end, F.col("_t"), 2))).alias("p")).select(by, "p.*")
+    return curve.unionByName(ends).groupBy(by, "time").agg(F.max_by("equity", "_o").alias("equity"))
 
 
 def daily_returns(equity: DataFrame, by: str = "symbol") -> DataFrame:
@@ -83,10 +92,10 @@ def time_blocks(rows: DataFrame, blocks: int, by: str = "symbol") -> DataFrame:
 
 
 def stability(ics: DataFrame, by: str = "symbol", ic: str = "rank_ic") -> DataFrame:
-    """How little the blocks' rank correlations scatter around their mean, from 0 to 1, and the share of the commoner sign."""
+    """How little the blocks' rank correlations scatter around their mean, from 0 to 1, and the share of the commoner sign: 0 under two signs."""
     score = 1 - F.stddev_pop(ic) / (F.abs(F.avg(ic)) + 1e-12)
     plus, minus = F.count(F.when(F.col(ic) > 0, 1)), F.count(F.when(F.col(ic) < 0, 1))
-    return ics.groupBy(by).agg(F.when(F.count(ic) >= 2, F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))).alias("stability"), F.try_divide(F.greatest(plus, minus), plus + minus).alias("sign_consistency"), F.percentile(ic, 0.5).alias("median"), F.stddev_pop(ic).alias("dispersion"))
+    return ics.groupBy(by).agg(F.when(F.count(ic) >= 2, F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))).alias("stability"), F.when(plus + minus >= 2, F.greatest(plus, minus) / (plus + minus)).otherwise(0.0).alias("sign_consistency"), F.percentile(ic, 0.5).alias("median"), F.stddev_pop(ic).alias("dispersion"))
 
 
 def numbered(rows: DataFrame, some: Column, by: str, name: str, chunk: str = "month") -> DataFrame:

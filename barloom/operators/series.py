@@ -23,6 +23,21 @@ def coverage(bars: DataFrame, seconds: int, by: str = "symbol") -> DataFrame:
     return rows.withColumn("missing", missing.cast("long")).where("missing > 0").select(by, (F.col("time") + step).alias("gap_start"), (F.col("next") - step).alias("gap_end"), "missing")
 
 
+def plan_read(stored: DataFrame, requests: DataFrame, by: str = "symbol") -> DataFrame:
+    """`requests` (by, start, end, ...) with serve_from (local or provider), head and tail: what the store lacks before and behind what it has.
+
+    The store's first and last bar are its envelope: holes within are no concern of a plan. A series that isn't stored lacks the
+    whole request, as its head. A segment that isn't missing is null.
+    """
+    envelope = stored.groupBy(by).agg(F.min("time").alias("_a"), F.max("time").alias("_z"))
+    out = requests.join(envelope, by, "left")
+    start, end, a, z = (F.col(x) for x in ("start", "end", "_a", "_z"))
+    part = lambda when, s, e: F.when(when, F.struct(s.alias("start"), e.alias("end")))
+    head = F.when(a.isNull(), F.struct(start.alias("start"), end.alias("end"))).otherwise(part(start < a, start, a.cast(requests.schema["start"].dataType)))
+    local = F.coalesce((a <= start) & (z >= end), F.lit(False))
+    return out.select(*requests.columns, F.when(local, "local").otherwise("provider").alias("serve_from"), head.alias("head"), part(end > z, z.cast(requests.schema["end"].dataType), end).alias("tail"))
+
+
 def gap_filled(local: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
     """The local rows, and those of the other source whose key the local ones lack."""
     return local.unionByName(other.join(local.select(key), key, "left_anti").select(local.columns))

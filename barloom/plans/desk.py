@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import columns as C
 from ..functions import labels
 from ..operators import analytics, holding, research, series
+from .studies import END, START
 from .queries import D1, H1, TRADES, W, daily, full, hourly, lagged, made_trades, read, rounded, ticks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,11 +78,26 @@ def last_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {H1}, n AS (SELECT symbol, time, lead(time) OVER {W} AS nxt FROM bars) SELECT symbol, time + INTERVAL 1 HOUR AS gap_start, nxt - INTERVAL 1 HOUR AS gap_end, CAST((epoch(nxt) - epoch(time)) / 3600 - 1 AS BIGINT) AS missing FROM n WHERE nxt > time + INTERVAL 1 HOUR")
-def coverage_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = series.coverage(hourly(spark, sf_dir), 3600)
     return out.select("symbol", *(c(x).cast("timestamp_ntz").alias(x) for x in ("gap_start", "gap_end")), "missing")
 
 
+@query(f"""WITH {H1}, v AS (SELECT symbol, min(time) AS a, max(time) AS z FROM bars GROUP BY symbol),
+r AS (SELECT CASE WHEN user_id % 7 = 0 THEN event_type || '_x' ELSE event_type END AS symbol, user_id % 40 AS request, min(ts) - (user_id % 3) * INTERVAL 1 DAY AS s, max(ts) - (user_id % 4 - 1) * INTERVAL 1 DAY AS e FROM events GROUP BY event_type, user_id),
+q AS (SELECT symbol, request, min(s) AS s, max(e) AS e FROM r GROUP BY ALL)
+SELECT q.symbol, request, s AS start, e AS "end", CASE WHEN a <= s AND z >= e THEN 'local' ELSE 'provider' END AS serve_from,
+CASE WHEN a IS NULL OR s < a THEN s END AS head_start, CASE WHEN a IS NULL THEN e WHEN s < a THEN a END AS head_end, CASE WHEN e > z THEN z END AS tail_start, CASE WHEN e > z THEN e END AS tail_end FROM q LEFT JOIN v USING (symbol)""")
+def coverage_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests against what is stored: served from the store, or else what is missing before and behind it."""
+    u = c("user_id")
+    each = read(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.min("ts").alias("s"), F.max("ts").alias("e"))
+    day = lambda t, n: (t.cast("timestamp") - F.make_dt_interval(n)).cast(each.schema["s"].dataType)
+    requests = each.groupBy(F.when(u % 7 == 0, F.concat("event_type", F.lit("_x"))).otherwise(c("event_type")).alias("symbol"), (u % 40).alias("request")).agg(F.min(day(c("s"), (u % 3).cast("int"))).alias("start"), F.max(day(c("e"), (u % 4 - 1).cast("int"))).alias("end"))
+    out = series.plan_read(hourly(spark, sf_dir), requests)
+    return out.select("symbol", "request", "start", "end", "serve_from", c("head.start").alias("head_start"), c("head.end").alias("head_end"), c("tail.start").alias("tail_start"), c("tail.end").alias("tail_end"))
+
+
 @query(f"WITH {H1}, l AS (SELECT time, close FROM bars WHERE symbol = 'purchase'), v AS (SELECT time, close FROM bars WHERE symbol = 'view') SELECT time, close FROM l UNION ALL SELECT time, close FROM v WHERE time NOT IN (SELECT time FROM l)")
 def gap_fill_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = hourly(spark, sf_dir)
@@ -100,10 +116,10 @@ def market_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value - 50 END AS last, CAST(event_id % 128 AS BIGINT) AS flags, value AS bid, value + 0.5 AS ask, ts FROM events)
-SELECT event_id, CASE WHEN flags & 32 <> 0 AND flags & 64 = 0 THEN 'buy' WHEN flags & 64 <> 0 AND flags & 32 = 0 THEN 'sell' END AS side, coalesce(last, 0) > 0 OR flags & 96 <> 0 AS is_trade, round((bid + ask) / 2, 6) AS mid, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS iso FROM t""")
+SELECT event_id, CASE WHEN flags & 32 <> 0 AND flags & 64 = 0 THEN 'buy' WHEN flags & 64 <> 0 AND flags & 32 = 0 THEN 'sell' END AS side, coalesce(last, 0) > 0 OR flags & 96 <> 0 AS is_trade, round((bid + ask) / 2, 6) AS mid, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso_ms FROM t""")
 def tick_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "events").select("event_id", F.when(c("event_id") % 5 != 0, c("value") - 50).alias("last"), (c("event_id") % 128).alias("flags"), c("value").alias("bid"), (c("value") + 0.5).alias("ask"), "ts")
-    return t.select("event_id", labels.tick_side(c("flags")).alias("side"), labels.is_trade(c("last"), c("flags")).alias("is_trade"), rounded(labels.mid(c("bid"), c("ask"))).alias("mid"), labels.iso(c("ts")).alias("iso"))
+    return t.select("event_id", labels.tick_side(c("flags")).alias("side"), labels.is_trade(c("last"), c("flags")).alias("is_trade"), rounded(labels.mid(c("bid"), c("ask"))).alias("mid"), labels.iso(c("ts")).alias("iso"), labels.iso_millis(F.unix_millis(c("ts").cast("timestamp"))).alias("iso_ms"))
 
 
 @query(f"""WITH {H1}, f AS (SELECT symbol, count(*) AS n, strftime(min(time), '%Y-%m-%dT%H:%M:%S+00:00') AS a, strftime(max(time), '%Y-%m-%dT%H:%M:%S+00:00') AS z FROM bars GROUP BY symbol)
@@ -111,7 +127,7 @@ SELECT symbol, sha256('{{"bar_count":' || n || ',"end":"' || z || '","start":"'
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a series' count and ends, and of a feature's parameters as compact JSON."""
     s = series.summary(hourly(spark, sf_dir))
-    data = F.format_string('{"bar_count":%d,"end":"%s","start":"%s"}', "rows", labels.iso(c("last")), labels.iso(c("first")))
+    data = F.format_string('{"bar_count":%d,"end":"%s","start":"%s"}', "rows", labels.iso_offset(c("last")), labels.iso_offset(c("first")))
     return s.select("symbol", F.sha2(data, 256).alias("data_fingerprint"), F.concat("symbol", F.lit(".v1."), F.left(F.sha2(F.format_string('[["period",%d]]', "rows"), 256), F.lit(8))).alias("feature_id"))
 
 
@@ -254,13 +270,15 @@ def holding_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {TRADES}, e AS (SELECT symbol, pnl, trade_id, exit_time, 100000 + sum(pnl) OVER w AS equity FROM t WINDOW w AS (PARTITION BY symbol ORDER BY exit_time, trade_id)), p AS (SELECT *, greatest(100000, max(equity) OVER (PARTITION BY symbol ORDER BY exit_time, trade_id)) AS peak FROM e),
 s AS (SELECT symbol, sum(pnl) / 100000 AS total, max((peak - equity) / peak) AS dd, avg(pnl / 100000) / stddev_samp(pnl / 100000) * sqrt(252 / 2500) AS ts FROM p GROUP BY symbol),
-q AS (SELECT symbol, exit_time AS time, sum(pnl) AS pnl FROM t GROUP BY ALL), eq AS (SELECT symbol, time, 100000 + sum(pnl) OVER (PARTITION BY symbol ORDER BY time) AS equity FROM q), d AS (SELECT symbol, CAST(time AS DATE) AS date, arg_max(equity, time) AS equity FROM eq GROUP BY ALL),
+q AS (SELECT symbol, exit_time AS time, sum(pnl) AS pnl FROM t GROUP BY ALL),
+pt AS (SELECT symbol, TIMESTAMP '{START}' AS time, 100000.0::DOUBLE AS equity, 0 AS o FROM t GROUP BY symbol UNION ALL SELECT symbol, time, 100000 + sum(pnl) OVER (PARTITION BY symbol ORDER BY time), 1 FROM q UNION ALL SELECT symbol, TIMESTAMP '{END}', 100000 + sum(pnl), 2 FROM t GROUP BY symbol),
+eq AS (SELECT symbol, time, arg_max(equity, o) AS equity FROM pt GROUP BY ALL), d AS (SELECT symbol, CAST(time AS DATE) AS date, arg_max(equity, time) AS equity FROM eq GROUP BY ALL),
 a AS (SELECT symbol, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d GROUP BY symbol), f AS (SELECT symbol, date, last_value(equity IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date) AS equity FROM a LEFT JOIN d USING (symbol, date)),
 r AS (SELECT symbol, equity / lag(equity) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM f), y AS (SELECT symbol, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe FROM r GROUP BY symbol)
 SELECT s.symbol, round(total, 6) AS total_return_pct, round(ts, 6) AS trade_sharpe_ratio, round(coalesce(sharpe, ts), 6) AS sharpe_ratio, round(total / greatest(dd, 1e-9), 4) AS return_drawdown_ratio FROM s JOIN y USING (symbol)""")
 def extended_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = made_trades(spark, sf_dir)
-    days = research.sharpe(research.daily_returns(research.equity_curve(t)))
+    days = research.sharpe(research.daily_returns(research.equity_curve(t, START, END)))
     out = analytics.extended_metrics(t, days, 2500.0)
     return out.select("symbol", *(F.round(x, 6).alias(x) for x in ("total_return_pct", "trade_sharpe_ratio", "sharpe_ratio")), F.round("return_drawdown_ratio", 4).alias("return_drawdown_ratio"))
 

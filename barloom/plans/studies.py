@@ -134,12 +134,15 @@ def pairs_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # figures of trades
-EQ = f"{TRADES}, q AS (SELECT symbol, exit_time AS time, sum(pnl) AS pnl FROM t GROUP BY ALL), e AS (SELECT symbol, time, 100000 + sum(pnl) OVER (PARTITION BY symbol ORDER BY time) AS equity FROM q)"
+START, END = datetime(1994, 12, 1), datetime(2002, 3, 31)
+EQ = f"""{TRADES}, q AS (SELECT symbol, exit_time AS time, sum(pnl) AS pnl FROM t GROUP BY ALL),
+pt AS (SELECT symbol, TIMESTAMP '{START}' AS time, 100000.0::DOUBLE AS equity, 0 AS o FROM t GROUP BY symbol UNION ALL SELECT symbol, time, 100000 + sum(pnl) OVER (PARTITION BY symbol ORDER BY time), 1 FROM q UNION ALL SELECT symbol, TIMESTAMP '{END}', 100000 + sum(pnl), 2 FROM t GROUP BY symbol),
+e AS (SELECT symbol, time, arg_max(equity, o) AS equity FROM pt GROUP BY ALL)"""
 
 
 @query(f"WITH {EQ} SELECT symbol, time, round(equity, 2) AS equity FROM e")
 def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return research.equity_curve(made_trades(spark, sf_dir)).select("symbol", "time", F.round("equity", 2).alias("equity"))
+    return research.equity_curve(made_trades(spark, sf_dir), START, END).select("symbol", "time", F.round("equity", 2).alias("equity"))
 
 
 @query(f"""WITH {EQ}, d AS (SELECT symbol, CAST(time AS DATE) AS date, arg_max(equity, time) AS equity FROM e GROUP BY ALL),
@@ -148,7 +151,7 @@ f AS (SELECT symbol, date, last_value(equity IGNORE NULLS) OVER (PARTITION BY sy
 r AS (SELECT symbol, equity / lag(equity) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM f)
 SELECT symbol, count(ret) AS n, round(avg(ret) / stddev_samp(ret) * sqrt(252), 6) AS sharpe FROM r GROUP BY symbol""")
 def sharpe_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = research.sharpe(research.daily_returns(research.equity_curve(made_trades(spark, sf_dir))))
+    out = research.sharpe(research.daily_returns(research.equity_curve(made_trades(spark, sf_dir), START, END)))
     return out.select("symbol", "n", F.round("sharpe", 6).alias("sharpe"))
 
 
@@ -164,7 +167,7 @@ k AS (SELECT symbol, any_value(n) AS n, any_value(m / sd) * sqrt(252) AS sh, avg
 v AS (SELECT *, 1 - skew * sh + (ex - 1) / 4 * sh * sh AS v FROM k), z AS (SELECT symbol, n, CASE WHEN v > 0 THEN least(greatest((sh - {research.expected_max_sharpe(25)!r}) * sqrt(n - 1) / sqrt(v), -8), 8) END AS c FROM v)
 SELECT symbol, n, round(CASE WHEN c IS NULL THEN 0 ELSE {CDF} END, 6) AS dsr FROM z""")
 def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = research.sharpe(research.daily_returns(research.equity_curve(made_trades(spark, sf_dir))))
+    out = research.sharpe(research.daily_returns(research.equity_curve(made_trades(spark, sf_dir), START, END)))
     return research.deflated_sharpe(out, trials=25).select("symbol", "n", F.round("dsr", 6).alias("dsr"))
 
 
