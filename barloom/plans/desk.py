@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql.window import Window
 from ..functions import columns as C
 from ..functions import labels
 from ..operators import analytics, holding, research, series
+from ..sources import artifacts, scratch
+from ..sources import ticks as tick_store
 from .studies import END, START
 from .queries import D1, H1, TRADES, W, daily, full, hourly, lagged, made_trades, read, rounded, ticks
 
@@ -192,6 +195,50 @@ def trb_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_trades(trb(spark, sf_dir), 5)
 
 
+# stores: each query writes to a new folder and reads it back
+TICK = "SELECT event_type AS symbol, epoch_us(ts) // 1000 AS time_msc, event_id, value AS bid, value + 0.5 AS ask, value + 0.25 AS last, 1.0 AS volume, CAST(event_id % 128 AS INTEGER) AS flags FROM events"
+
+
+def store_ticks(spark: SparkSession, sf_dir: str) -> str:
+    """A store of two writes: two thirds of the ticks, then every second one with its prices doubled."""
+    e = read(spark, sf_dir, "events")
+    t = e.select(c("event_type").alias("symbol"), F.unix_millis(c("ts").cast("timestamp")).alias("time_msc"), "event_id", c("value").alias("bid"), (c("value") + 0.5).alias("ask"), (c("value") + 0.25).alias("last"), F.lit(1.0).alias("volume"), (c("event_id") % 128).cast("int").alias("flags"))
+    root = scratch.shared_dir(spark)
+    tick_store.write_ticks(t.where("event_id % 3 <> 0"), root, ["event_id"])
+    tick_store.write_ticks(t.where("event_id % 2 = 0").withColumns({x: c(x) * 2 for x in ("bid", "ask", "last")}), root, ["event_id"])
+    return root
+
+
+STORED = f"""i AS ({TICK}), w AS (SELECT *, 0 AS w FROM i WHERE event_id % 3 <> 0 UNION ALL SELECT symbol, time_msc, event_id, bid * 2, ask * 2, last * 2, volume, flags, 1 FROM i WHERE event_id % 2 = 0),
+s AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY symbol, time_msc ORDER BY w DESC, event_id DESC) = 1)"""
+
+
+@query(f"WITH {STORED} SELECT symbol, time_msc, round(bid, 6) AS bid, round(ask, 6) AS ask, round(last, 6) AS last, flags FROM s WHERE symbol IN ('click', 'view') AND make_timestamp_ms(time_msc) BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'")
+def tick_store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten days of two symbols, of what two writes have left."""
+    out = tick_store.read_ticks(spark, store_ticks(spark, sf_dir), ["click", "view"], datetime(2024, 1, 10), datetime(2024, 1, 20))
+    return out.select("symbol", "time_msc", *(F.round(x, 6).alias(x) for x in ("bid", "ask", "last")), "flags")
+
+
+@query(f"WITH {STORED} SELECT symbol, count(DISTINCT strftime(make_timestamp_ms(time_msc), '%Y-%m')) AS months, count(*) AS rows, make_timestamp_ms(min(time_msc)) AS first, make_timestamp_ms(max(time_msc)) AS last FROM s WHERE symbol <> 'view' GROUP BY symbol")
+def tick_store_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored once a series has been deleted."""
+    root = store_ticks(spark, sf_dir)
+    tick_store.delete_ticks(spark, root, "view")
+    out = tick_store.summarize(spark, root)
+    return out.select("symbol", "months", "rows", *(c(x).cast("timestamp_ntz").alias(x) for x in ("first", "last")))
+
+
+@query(f"WITH {TRADES} SELECT symbol, trade_id, exit_time, pnl, exit_reason, 2 AS version FROM t WHERE pnl > 0")
+def run_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's trades, written twice; the second version, of the gains alone, is what readers see."""
+    root, t = scratch.shared_dir(spark), made_trades(spark, sf_dir)
+    for rows in (t, t.where("pnl > 0")):
+        artifacts.write(spark, root, "backtests", "run", {"trades": rows, "equity": research.equity_curve(rows, START, END)}, {"metrics": {"trades": rows.count()}})
+    found = artifacts.manifest(spark, root, "backtests", "run")
+    return artifacts.read(spark, root, "backtests", "run", "trades").withColumn("version", F.lit(found["version"]))
+
+
 # run tables
 @query("SELECT o_orderkey AS run, c_custkey AS model, c_mktsegment AS kind, o_totalprice AS score FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
 def scores_with_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
