@@ -35,12 +35,11 @@ from pyspark.sql.window import Window
 
 from .common import tidy, written
 from .components import components
-from .exchange import PACKED, buckets, from_planes, held_by_others, packing
+from .exchange import PACKED, buckets, from_planes, held_by_others, notes, packing
 from .neardup import shingles
 
-#: rounds of hubs at most; another round follows where more pairs than so many a posting are left: MANY, or FEW if a quarter of
-#: the last round's pairs were alike
-ROUNDS, FEW, MANY = 8, 4, 64
+#: rounds of hubs at most; a round is due where lists are longer than so many, on average over postings
+ROUNDS, LONG = 8, 64
 #: rows of one key that stay together; parts of the hash range that are counted
 SPREAD, PARTS = 1_000, 64
 
@@ -65,22 +64,40 @@ def sign(df: DataFrame, words: int) -> DataFrame:
     return df.mapInArrow(tidy(run), "id long, n long, class long")
 
 
-def _shared(df: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(class, n, value): the shingles that others hold too, of the classes that share enough of them to be alike to any."""
-    n = buckets(df)
+def _likely(df: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(class) of those that can be alike to any, by longer prefixes in order of hash, before anything is known of rarity.
+
+    With l the share that a set may lack (and 1 at least), the first n - ceil(percent n / 100) + l shingles of each set are sent.
+    Two sets that are alike share as many of them as the smaller l; a partner has at least `percent` of a set's shingles, and so
+    at least `percent` of its l.
+    """
+    n, lack = buckets(df), 100 - percent
 
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             sets = {}
             for i, t in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if i is not None and len(s := shingles(t, words)):
-                    sets[_class(s)] = s.tobytes()
+                    sets[_class(s)] = s[: len(s) + (-percent * len(s) // 100) + max(1, -(-lack * len(s) // 100))].tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], names=["class", "set"])
 
     pack = packing(lambda s: np.frombuffer(s, np.uint64), ["class", "set"], n, True)
     packed = df.mapInArrow(tidy(lambda batches: pack(owned(batches))), PACKED)
+
+    def count(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        for who, ends, keys, _, _ in notes(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array([len(np.unique(keys[a:z])) for a, z in zip(ends, ends[1:], strict=False)], pa.int64())], names=["class", "shared"])
+
+    shared = held_by_others(packed, n, True, count, "class long, shared long")
+    return shared.join(sizes, "class").where(F.col("shared") * 10_000 >= F.greatest(F.col("n") * lack * percent, F.lit(10_000))).select("class")
+
+
+def _shared(sets: DataFrame, percent: int) -> DataFrame:
+    """(class, n, value): the shingles that others hold too, of the classes that share enough of them to be alike to any."""
+    n = buckets(sets)
+    packed = sets.select("class", "set").mapInArrow(packing(lambda s: np.frombuffer(s, np.uint64), ["class", "set"], n, True), PACKED)
     held = held_by_others(packed, n, tell_first=True).select(F.col("owner").alias("class"), "keys")
-    enough = held.join(sizes, "class").where(F.length("keys") / 8 * 100 >= F.col("n") * percent)
+    enough = held.join(sets.select("class", "n"), "class").where(F.length("keys") / 8 * 100 >= F.col("n") * percent)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
@@ -93,9 +110,9 @@ def _shared(df: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataFr
 
 def _postings(rows: DataFrame, percent: int) -> DataFrame:
     """(value, often, class, n, place, short): the prefixes; short where the shingle is in the prefix against larger sets too."""
-    often = rows.groupBy("value").agg(F.count(F.lit(1)).alias("often"))
     by = Window.partitionBy("class")
-    placed = rows.join(often, "value").withColumn("place", F.col("n") - F.count(F.lit(1)).over(by) + F.row_number().over(by.orderBy("often", "value")) - 1)
+    # a value's rows are few beside all: a class has hundreds
+    placed = rows.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("value"))).withColumn("place", F.col("n") - F.count(F.lit(1)).over(by) + F.row_number().over(by.orderBy("often", "value")) - 1)
     prefix = lambda least: F.col("place") <= F.col("n") - least
     placed = placed.where(prefix(F.ceil(F.col("n") * percent / 100)) & (F.col("often") > 1))
     return placed.withColumn("short", prefix(overlap(F.col("n"), F.col("n"), percent)))
@@ -203,10 +220,10 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     signed = written(sign(docs, words))
     own = signed.where("n > 0 and id is not null")
     classes = written(own.groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
-    rows = written(_shared(docs, classes.select("class", "n"), words, percent))
-    posts = written(_postings(rows, percent))
-    reps = written(classes.join(posts.select("class").distinct(), "class", "left_semi").select("class", "rep"))
-    sets = written(_sets(docs, reps, words))
+    likely = written(classes.join(_likely(docs, classes.select("class", "n"), words, percent), "class", "left_semi").select("class", "rep"))
+    sets = written(_sets(docs, likely, words))
+    posts = written(_postings(written(_shared(sets, percent)), percent))
+    reps = written(likely.join(posts.select("class").distinct(), "class", "left_semi"))
 
     # rows of one id are one document: the classes of an id are linked through its smallest representative
     placed = own.join(classes.select("class", "rep"), "class").select("id", "rep", "n")
@@ -219,13 +236,13 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
         left = lists.agg(F.sum(F.when(F.col("label") != F.col("most"), F.col("size"))).alias("pairs"), F.count(F.lit(1)).alias("n")).first()
         if not left.pairs:
             break
-        last = turn == ROUNDS or left.pairs <= (FEW if fruitful else MANY) * left.n
+        last = turn == ROUNDS or not fruitful or left.pairs <= LONG * left.n
         pairs = _across(lists, percent) if last else _toward_hubs(lists, turn, percent)
         pairs = written(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"))
         met = pairs if met is None else met.unionByName(pairs)
         new = written(_verified(pairs, sets, percent))
-        fruitful = 4 * new.count() >= pairs.count()
-        if not new.isEmpty():
+        fruitful = not new.isEmpty()
+        if fruitful:
             links = written(links.unionByName(new))
             labels = components(links)
         if last:
