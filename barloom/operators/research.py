@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import correlation
+from ..sources.scratch import kept
 
 EULER = 0.5772156649015329  # the Euler-Mascheroni constant
 
@@ -137,9 +138,10 @@ def regimes(rows: DataFrame, vol: str, n: int = 3, by: str = "symbol") -> DataFr
 
 def correlations(wide: DataFrame, features: list[str], by: str | None = None) -> DataFrame:
     """(by, a, b, corr): absolute rank correlation of each two features within each `by`, in one aggregation over rows that have all of them."""
-    wide, keys = wide.dropna(subset=features), [by] if by else []
-    key = F.monotonically_increasing_id()
-    long = wide.withColumn("_key", key).select("_key", *keys, F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")) for f in features))).alias("x")).select("_key", *keys, "x.*")
+    keys = [by] if by else []
+    # numbers of rows are other ones once a stage runs again: they are kept
+    wide = kept(wide.dropna(subset=features).select(*keys, *features).withColumn("_key", F.monotonically_increasing_id()))
+    long = wide.select("_key", *keys, F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")) for f in features))).alias("x")).select("_key", *keys, "x.*")
     counts = long.groupBy(*keys, "f", "v").agg(F.count(F.lit(1)).alias("c"))
     ranks = counts.withColumn("rank", F.sum("c").over(W.partitionBy(*keys, "f").orderBy("v")) - (F.col("c") - 1) / 2)
     ranked = long.join(ranks, [*keys, "f", "v"]).groupBy(*keys, "_key").pivot("f", features).agg(F.first("rank"))

@@ -214,7 +214,10 @@ def feature_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", *(F.round(x, 6).alias(x) for x in ("stability", "sign_consistency", "median", "dispersion")))
 
 
-@query()
+@query(f"""WITH {BLOCKS}, u AS (SELECT symbol, count(*) AS n FROM r GROUP BY symbol),
+s AS (SELECT symbol, count(rank_ic) AS folds, avg(rank_ic) AS ic, least(greatest(1 - stddev_pop(rank_ic) / (abs(avg(rank_ic)) + 1e-12), 0), 1) AS stability, greatest(count(*) FILTER (rank_ic > 0), count(*) FILTER (rank_ic < 0)) / (count(*) FILTER (rank_ic <> 0)) AS sign, stddev_pop(rank_ic) AS dispersion FROM i GROUP BY symbol),
+d AS (SELECT *, concat_ws(',', CASE WHEN n < 100 THEN 'insufficient_observations' END, CASE WHEN folds < 5 THEN 'insufficient_folds' END) AS thin, concat_ws(',', CASE WHEN ic IS NULL OR abs(ic) < 0.02 THEN 'weak_rank_ic' END, CASE WHEN sign < 0.6 THEN 'unstable_sign' END, CASE WHEN dispersion > 0.3 THEN 'high_dispersion' END) AS bad FROM s JOIN u USING (symbol))
+SELECT symbol, CASE WHEN thin <> '' THEN 'inconclusive' WHEN bad <> '' THEN 'rejected' ELSE 'admitted' END AS decision, CASE WHEN thin <> '' THEN thin ELSE bad END AS reasons, round(least(greatest(0.4 * abs(ic) + 0.3 * stability + 0.15, 0), 1), 6) AS score FROM d""")
 def feature_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     ics = block_ics(spark, sf_dir)
     out = research.stability(ics).join(ics.groupBy("symbol").agg(F.sum("n").alias("n"), F.count("rank_ic").alias("folds"), F.avg("rank_ic").alias("rank_ic")), "symbol")
@@ -339,10 +342,18 @@ def unadmitted_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # forward execution
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'kill_switch' WHEN l_linestatus <> 'O' THEN 'lifecycle' WHEN l_quantity < 2 OR l_quantity % 2 <> 0 THEN 'invalid_quantity' WHEN l_quantity * l_extendedprice > 2000000 THEN 'notional_limit' END AS code FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 23 = 0 THEN 'kill_switch' WHEN l_orderkey % 19 = 0 THEN 'lifecycle' WHEN l_partkey % 17 = 0 THEN 'lease_lost' WHEN l_suppkey % 13 = 0 THEN 'unknown_prior_order' WHEN l_orderkey % 200 > 180 THEN 'stale_bar'
+WHEN NOT (l_extendedprice > 0 AND l_discount >= 0.01) THEN 'symbol_unavailable' WHEN l_partkey % 70 > 60 THEN 'stale_quote' WHEN l_quantity < 3 OR l_quantity % 1 <> 0 THEN 'invalid_quantity' WHEN l_quantity * (l_extendedprice + 1) > 2000000 THEN 'notional_limit'
+WHEN l_linenumber = 6 THEN 'one_position_violation' WHEN l_extendedprice <= 2000 THEN 'insufficient_equity' WHEN l_tax >= 0.07 THEN 'daily_loss' END AS code FROM lineitem""")
 def risk_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = [("kill_switch", c("l_returnflag") != "R"), ("lifecycle", c("l_linestatus") == "O"), ("invalid_quantity", (c("l_quantity") >= 2) & (c("l_quantity") % 2 == 0)), ("notional_limit", c("l_quantity") * c("l_extendedprice") <= 2_000_000)]
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ledger.risk_rejection(checks).alias("code"))
+    """The first of the twelve standard checks that an order fails; each fails for some of the lines."""
+    k, ship = c("l_orderkey"), c("l_shipdate").cast("timestamp")
+    ago = lambda n: F.timestamp_seconds(F.unix_timestamp(ship) - n)
+    orders = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", ship.alias("now"), (k % 23 == 0).alias("kill_switch"), F.when(k % 19 == 0, "stopped").otherwise("running").alias("lifecycle"), (c("l_partkey") % 17 != 0).alias("lease_ok"), F.when(c("l_suppkey") % 13 == 0, 1).otherwise(0).alias("unknown_orders"),
+        ago(k % 200).alias("bar_close"), c("l_extendedprice").alias("bid"), (c("l_extendedprice") + F.when(c("l_discount") >= 0.01, 1).otherwise(-1)).alias("ask"), ago(c("l_partkey") % 70).alias("quote_time"), c("l_quantity").alias("quantity"), F.when(c("l_linenumber") == 6, 1).otherwise(0).alias("open_quantity"), (c("l_extendedprice") - 2000).alias("equity"), F.when(c("l_tax") >= 0.07, -7000).otherwise(0).alias("day_pnl"))
+    limits = {"bar_age": 180, "quote_age": 60, "min_quantity": 3, "step": 1, "notional": 2_000_000, "daily_loss": 7000}
+    return orders.select("l_orderkey", "l_linenumber", ledger.risk_rejection(ledger.standard_checks(c("now"), limits)).alias("code"))
 
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
