@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import research, search
+from ..operators import importance, research, search
 from .evidence import LONG, MATRIX, ic_sql, long, matrix
 from .queries import D1, H1, W, daily, hourly, read
 
@@ -81,6 +81,13 @@ def genome_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.diversity(nodes, "population", "genome").withColumn("diversity", F.round("diversity", 6))
 
 
+def parameter_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of a trial's parameters decide its objective, by a forest over all trials."""
+    p = read(spark, sf_dir, "part").select(c("p_size").alias("short_period"), (c("p_partkey") % 60).alias("long_period"), (c("p_partkey") % 7).alias("threshold"), c("p_retailprice").alias("objective"))
+    return importance.importances(p, ["short_period", "long_period", "threshold"], "objective")
+
+
+QUERIES["parameter_importances"] = parameter_importances
 KINDS = {"m5": "ind.momentum", "m10": "ind.momentum", "m21": "ind.momentum", "reach": "ind.ratio"}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import columns as C
 from barloom.functions import labels
-from barloom.operators import causality, folds, holding, information, research, series
+from barloom.operators import causality, folds, holding, importance, information, research, search, series
 from barloom.plans import catalogue, genome
 from barloom.plans.genome import Node
 from barloom.sources import artifacts
@@ -291,3 +291,49 @@ def test_a_stream_recovers(spark, tmp_path):
     put("rest", second)
     anew = decided(live.crossover_decisions(live.recovering(stream("store"), stream("rest"))), "anew")
     assert anew == [r for r in want if r not in early]
+
+
+def test_importances(spark):
+    """As a dense grid over the box has them; they add up to 1 at most."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rng = np.random.default_rng(4)
+    a, b, k = rng.uniform(0, 10, 300), rng.uniform(-1, 1, 300), np.ones(300)
+    y = 3 * a + 10 * (b > 0.2) + a * b
+    df = spark.createDataFrame([*zip(a.tolist(), b.tolist(), k.tolist(), y.tolist(), strict=True), (None, 1.0, 1.0, 99.0)], "a double, b double, k double, y double").coalesce(1)
+    got = {r.parameter: r for r in importance.importances(df, ["a", "b", "k"], "y", trees=3, depth=4).collect()}
+    assert set(got) == {"a", "b", "k"} and got["k"].importance == 0 and sum(r.importance for r in got.values()) <= 1 + 1e-9
+    assert abs(sum(r.share for r in got.values()) - 1) < 1e-9
+    at = lambda x: np.linspace(x.min(), x.max(), 401)[:-1] + (x.max() - x.min()) / 802
+    grid = spark.createDataFrame([(float(p), float(q), 1.0) for p in at(a) for q in at(b)[::4]], "a double, b double, k double")
+    points = VectorAssembler(inputCols=["a", "b", "k"], outputCol="_x")
+    whole = points.transform(df.dropna().withColumnRenamed("y", "_y"))
+    model = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=3, maxDepth=4, seed=1, featureSubsetStrategy="all").fit(whole)
+    shares = []
+    for tree in model.trees:
+        z = np.array([r.prediction for r in tree.transform(points.transform(grid)).select("prediction").collect()]).reshape(400, 100)
+        shares.append((z.mean(axis=1).var() / z.var(), z.mean(axis=0).var() / z.var()))
+    assert np.allclose([got["a"].importance, got["b"].importance], np.mean(shares, axis=0), atol=0.01)
+    assert importance.importances(df.limit(1), ["a"], "y").count() == 0
+
+
+def test_searches(spark):
+    trial = lambda s, p, r: (s, p, r)
+    rows = [trial("MACrossover", {"short_period": "50", "long_period": "50"}, {}), trial("MACrossover", {"short_period": "5", "long_period": "50", "short_ma_type": " EMA "}, {}), trial("MACrossover", {"long_ma_type": "tma"}, {}), trial("RSI", {"short_period": "50", "long_period": "5"}, {}),
+            trial("RSI", {}, {"type": "fixed_safety_margin", "min_contracts": "3", "max_contracts": "2"}), trial("RSI", {}, {"type": "fixed", "min_contracts": "3", "max_contracts": "2"}), trial(None, None, None)]
+    df = spark.createDataFrame(rows, "s string, p map<string,string>, r map<string,string>").coalesce(1)
+    assert [r[0] and r[0][:12] for r in df.select(search.void(F.col("s"), F.col("p"), F.col("r"))).collect()] == ["long_period ", None, "unknown long", None, "max_contract", None, None]
+    warm = spark.createDataFrame([({"period": 5.0, "e1__Window": 9.7, "num_std": 99.0, "period__num_std": 50.0},), ({},), (None,)], "p map<string,double>").coalesce(1)
+    assert [r[0] for r in warm.select(search.warmup_bars(F.col("p"))).collect()] == [27, 0, 0]
+    figures = spark.createDataFrame([("a", 1, 5.0, 0.1, None), ("a", 2, 5.0, 0.2, None), ("a", 3, 9.0, 0.0, "no"), ("b", 1, None, 0.3, None)], "study string, trial int, total_pnl double, max_drawdown_pct double, void string").withColumn("total_return_pct", F.col("total_pnl"))
+    best = lambda mode: {r.study: (r.trial, r.objective) for r in search.best_trials(figures, mode, "study", "trial").collect()}
+    assert best("maximize_net_profit") == {"a": (1, [5.0]), "b": (1, [0.0])} and best("minimize_drawdown")["a"] == (1, [0.1])
+    assert best("multi_objective_return_drawdown")["a"] == (1, [5.0, 0.1])
+    nodes = spark.createDataFrame([("p", 1, "x"), ("p", 1, "y"), ("p", 2, "y"), ("p", 2, "x"), ("p", 3, "x"), ("p", 3, "x"), ("p", 3, "y")], "p string, g int, kind string")
+    assert tuple(search.diversity(nodes, "p", "g").first()) == ("p", 3, 2, 2 / 3)
+    scores = spark.createDataFrame([("s", "a", -0.4), ("s", "a", 0.1), ("s", "b", 0.1), ("s", "c", None), ("z", "a", 0.0)], "s string, kind string, ic double")
+    assert {tuple(r) for r in search.kind_weights(scores, "s").collect()} == {("s", "a", 3.0), ("s", "b", 1.5)}
+    bars = made_bars(spark, n=130, symbols=("s",)).unionByName(made_bars(spark, n=5, symbols=("few",))).unionByName(made_bars(spark, n=130, symbols=("gap",)).where("time < '2023-01-03' or time > '2023-01-04'"))
+    found = {r.symbol: (r.verdict, r.max_gap_days) for r in search.preflight(bars, 3600, min_bars=100, max_gap_days=0.5).collect()}
+    assert found == {"s": ("ready", 0.0), "few": ("inconclusive", 0.0), "gap": ("inconclusive", 26 / 24)}
