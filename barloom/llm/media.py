@@ -116,7 +116,7 @@ def store(df: DataFrame, key: Column, payload: Column, root: str | None = None)
     return one.select("id", "n_bytes", "digest", *(F.coalesce(F.col("place")[c], F.col(c)).alias(c) for c in ("shard", "offset", "length")))
 
 
-READ = "id long, n_bytes long, digest string, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "id long, n_bytes long, digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
 
 
 def in_tasks(df: DataFrame, *place: str) -> DataFrame:
@@ -145,7 +145,7 @@ class Files:
 
 
 def headers(stored: DataFrame) -> DataFrame:
-    """`stored` with width and height, from the first bytes of each payload; nothing else is read."""
+    """`stored` with width and height, from the first bytes of each payload; nothing else is read. Tasks read shards in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, last, size = Files(), None, (0, 0)
@@ -158,11 +158,16 @@ def headers(stored: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in found], pa.int32()) for i in (0, 1))], names=[*batch.schema.names, "width", "height"])
         files.close()
 
-    return stored.mapInArrow(tidy(run), f"{STORED}, width int, height int")
+    return in_tasks(stored, "shard", "offset").mapInArrow(tidy(run), f"{STORED}, width int, height int")
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """Digests and features of the samples, from range reads of the whole payloads; equal places are read once in a row."""
+    """Digests and features of the samples, from range reads of the whole payloads; equal places are read once in a row.
+
+    Width and height are those that `headers` has read: rows without them get them first.
+    """
+    if "width" not in stored.columns:
+        stored = headers(stored)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, last, values = Files(), None, ()
@@ -174,10 +179,10 @@ def read_back(stored: DataFrame) -> DataFrame:
                 if (at := (r["shard"], r["offset"], r["length"])) != last:
                     data = files.read(*at)
                     body = from_png(data)
-                    last, values = at, (*png_size(data), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(data), hashlib.sha256(data).hexdigest(), features(body))
-                rows.append((r["id"], r["n_bytes"], r["digest"], *values))
+                    last, values = at, (len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(data), hashlib.sha256(data).hexdigest(), features(body))
+                rows.append((r["id"], r["n_bytes"], r["digest"], *values, r["width"], r["height"]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         files.close()
 
-    return in_tasks(stored, "shard", "offset").mapInArrow(tidy(run), READ)
+    return stored.mapInArrow(tidy(run), READ)  # in the tasks and order of the header pass

@@ -29,7 +29,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(read(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
-    return media.read_back(stored).select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    return media.read_back(media.headers(stored)).select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

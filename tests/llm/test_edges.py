@@ -333,3 +333,19 @@ def test_stages_against_brute_force(spark):
     for b in bins.values():
         assert [o for o, *_ in sorted(b)] == [0, *itertools.accumulate(n for _, n, _ in sorted(b))][:-1] and sum(n for _, n, _ in b) <= 2048
     assert re.fullmatch(r"[a-z_,]+", ",".join(n for n, _ in corpus_pipeline.STAGES)) and P.path("byte_bpe_50k.json")
+
+
+def test_media_headers_need_no_more_than_headers(spark, tmp_path):
+    """With all bytes behind the headers gone from the shards, sizes are still found, and payloads aren't."""
+    texts = [(1, "a" * 1000), (2, "b" * 64 * 70), (3, None), (4, "a" * 1000)]
+    stored = media.store(spark.createDataFrame(texts, "k long, t string").coalesce(2), F.col("k"), F.col("t"), f"file://{tmp_path}/shards")
+    rows = stored.collect()
+    want = {r.id: (r.width, r.height) for r in media.read_back(media.headers(stored)).collect()}
+    assert want == {1: (64, 16), 2: (64, 70), 3: (64, 1), 4: (64, 16)}
+    for r in rows:
+        with open(r.shard.removeprefix("file://"), "r+b") as f:
+            f.seek(r.offset + media.HEADER)
+            f.write(bytes(r.length - media.HEADER))
+    assert {r.id: (r.width, r.height) for r in media.headers(stored).collect()} == want
+    with pytest.raises(Exception, match="zlib|incomplete|truncated|invalid"):
+        media.read_back(stored).collect()
