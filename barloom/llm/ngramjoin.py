@@ -38,8 +38,9 @@ from .components import components
 from .exchange import PACKED, buckets, from_planes, held_by_others, notes, packing
 from .neardup import shingles
 
-#: rounds of hubs at most; a round is due where lists are longer than so many, on average over postings
-ROUNDS, LONG = 8, 64
+#: rounds of hubs at most; a round is due where lists are longer than so many, on average over postings: LONG if a quarter of the last
+#: round's pairs were alike, else LONGER, as looking through a list costs little and hubs lead no further
+ROUNDS, LONG, LONGER = 8, 64, 1024
 #: rows of one key that stay together; parts of the hash range that are counted
 SPREAD, PARTS = 1_000, 64
 
@@ -131,7 +132,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["class", "rep", "n", "parts", "set"])
 
-    return docs.join(wanted.withColumnRenamed("rep", "id"), "id").select(F.col("id").alias("rep"), "class", "text").mapInArrow(tidy(run), "class long, rep long, n long, parts array<int>, set binary").dropDuplicates(["class"])
+    # merged: what is wanted grows with the documents, so it isn't broadcast at any size
+    return docs.join(wanted.withColumnRenamed("rep", "id").hint("merge"), "id").select(F.col("id").alias("rep"), "class", "text").mapInArrow(tidy(run), "class long, rep long, n long, parts array<int>, set binary").dropDuplicates(["class"])
 
 
 def _beside(pairs: DataFrame, key: str, other: str, table: DataFrame) -> DataFrame:
@@ -236,13 +238,13 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
         left = lists.agg(F.sum(F.when(F.col("label") != F.col("most"), F.col("size"))).alias("pairs"), F.count(F.lit(1)).alias("n")).first()
         if not left.pairs:
             break
-        last = turn == ROUNDS or not fruitful or left.pairs <= LONG * left.n
+        last = turn == ROUNDS or left.pairs <= (LONG if fruitful else LONGER) * left.n
         pairs = _across(lists, percent) if last else _toward_hubs(lists, turn, percent)
         pairs = written(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"))
         met = pairs if met is None else met.unionByName(pairs)
         new = written(_verified(pairs, sets, percent))
-        fruitful = not new.isEmpty()
-        if fruitful:
+        fruitful = 4 * new.count() >= pairs.count()
+        if not new.isEmpty():
             links = written(links.unionByName(new))
             labels = components(links)
         if last:

@@ -60,7 +60,7 @@ def like_texts(seed, n):
 @pytest.mark.parametrize(("rounds", "long", "spread"), [(8, 64, 1000), (3, 0, 7)])
 def test_ngram_join(spark, monkeypatch, rounds, long, spread):
     """Pair by pair at once, and by hubs first with everything salted."""
-    for name, value in (("ROUNDS", rounds), ("LONG", long), ("SPREAD", spread)):
+    for name, value in (("ROUNDS", rounds), ("LONG", long), ("LONGER", long), ("SPREAD", spread)):
         monkeypatch.setattr(ngramjoin, name, value)
     rows = like_texts(1, 150)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({"n": F.lit(1), "class": F.lit("x"), "set": F.lit("y"), "label": F.lit(0)})
