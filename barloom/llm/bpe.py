@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from .common import tidy
 
 MEMO_CHUNKS = 100_000  # about 20 MB
+#: of a worker that does nothing else; about 80 MB
+LARGE_MEMO = 400_000
 #: above every rank
 NO_RANK = 1 << 62
 #: Unicode's White_Space, as the pattern's \s has it (fixed values)
@@ -83,13 +85,13 @@ def _fold_long(pieces: list[bytes], ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Text to 32-bit ids as bytes, chunk by chunk."""
 
-    def __init__(self, encode_chunk: Callable[[str], list[int]]):
+    def __init__(self, encode_chunk: Callable[[str], list[int]], most: int = MEMO_CHUNKS):
         self.encode_chunk = encode_chunk
 
         class Memo(dict):
             def __missing__(memo, chunk: str) -> bytes:  # noqa: N805
                 ids = np.array(encode_chunk(chunk), "<u4").tobytes()
-                if len(memo) < MEMO_CHUNKS and len(chunk) < 64:
+                if len(memo) < most and len(chunk) < 64:
                     memo[chunk] = ids
                 return ids
 
@@ -99,11 +101,11 @@ class Encoder:
         return b"".join(map(self.memo.__getitem__, CHUNK.findall(text))) if text else b""
 
 
-def rank_encoder(path: str, pattern: str) -> Encoder:
+def rank_encoder(path: str, pattern: str, most: int = MEMO_CHUNKS) -> Encoder:
     import regex
 
     ranks, words = load_ranks(path), regex.compile(pattern)
-    return Encoder(lambda chunk: [i for w in words.findall(chunk) for i in fold(w.encode(), ranks)])
+    return Encoder(lambda chunk: [i for w in words.findall(chunk) for i in fold(w.encode(), ranks)], most)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -112,7 +114,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     df = df.select(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = rank_encoder(path, pattern)
+        encoder = rank_encoder(path, pattern, LARGE_MEMO)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
