@@ -7,20 +7,24 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import research
-from barloom.plans import evidence
+from barloom.plans import evidence, searches
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(evidence.SQL))
+QUERIES, SQL = evidence.QUERIES | searches.QUERIES, evidence.SQL | searches.SQL
+KEYS = ("symbol", "time", "feature", "regime", "study", "mode", "trial", "kind", "population")
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("orders", "part"):
+    for t in ("orders", "part", "events", "lineitem"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    got, want = evidence.QUERIES[name](spark, SF), con.execute(evidence.SQL[name])
+    got, want = QUERIES[name](spark, SF), con.execute(SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(got.columns)
-    keys = sum(n in ("symbol", "feature", "regime", "study") for n in names)
+    keys = sum(n in KEYS for n in names)
     near = lambda a, b: a == b or (isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 2e-6 * max(1, abs(a)))
     a, b = (sorted(rows, key=lambda r: tuple(map(str, r[:keys]))) for rows in (list(map(tuple, got.select(names).collect())), want.fetchall()))
     assert len(a) == len(b) > 0 and all(all(map(near, x, y)) for x, y in zip(a, b, strict=True))
