@@ -40,7 +40,7 @@ from .neardup import shingles
 
 #: rounds of hubs at most; a round is due where lists are longer than so many, on average over postings: LONG if a quarter of the last
 #: round's pairs were alike, else LONGER, as looking through a list costs little and hubs lead no further
-ROUNDS, LONG, LONGER = 8, 64, 1024
+ROUNDS, LONG, LONGER = 2, 64, 1024
 #: rows of one key that stay together; parts of the hash range that are counted
 SPREAD, PARTS = 1_000, 64
 
@@ -149,16 +149,21 @@ def _beside(pairs: DataFrame, key: str, other: str, table: DataFrame) -> DataFra
 
 def _both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     """`pairs` (a, b) with the columns of both classes' sets, as c_a and c_b; sets that no pair names don't travel."""
-    named = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    named = written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
     sets = sets.select("class", *columns).join(named, "class", "left_semi")
     one = lambda key: sets.select(F.col("class").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in columns))
     return _beside(_beside(pairs, "a", "b", one("a")), "b", "a", one("b"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b), by representative: the pairs of classes that the suffix filter lets through and whose sets are alike."""
-    most = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = written(_both(pairs, sets, "n", "parts").where(most >= overlap(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
+def _most(x: Column, y: Column) -> Column:
+    """What two sets can share at most, by the counts of their parts."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda s, a: s + a)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, filtered: bool = False) -> DataFrame:
+    """(a, b), by representative: the pairs of classes that the suffix filter lets through, unless they are `filtered`, and whose sets are alike."""
+    if not filtered:
+        pairs = written(_both(pairs, sets, "n", "parts").where(_most(F.col("parts_a"), F.col("parts_b")) >= overlap(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,12 +180,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _lists(posts: DataFrame, reps: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(value, class, n, place, short, label, size, most): lists of several components; of lists with the same members the rarest shingle's.
+    """(value, class, n, place, short, label, parts, size, most): lists of several components; of lists with the same members the rarest shingle's.
 
     `most` is the list's commonest component. The rarest of shingles that the same classes post is the first that any two of them share.
     """
     known = reps if labels is None else reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    known = posts.join(known.select("class", F.col("rep" if labels is None else "label").alias("label")), "class")
+    known = posts.join(known.select("class", F.col("rep" if labels is None else "label").alias("label"), "parts"), "class")
     same = [F.sum(F.xxhash64("class", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in (1, 2)]
     lists = known.groupBy("value").agg(F.min("often").alias("often"), F.count(F.lit(1)).alias("size"), F.max("short").alias("any"), F.min("label").alias("x"), F.max("label").alias("y"), *same).where("x < y and any")
     lists = lists.groupBy("size", "h1", "h2").agg(F.min(F.struct("often", "value")).alias("v")).select("v.value", "size")
@@ -204,15 +209,16 @@ def _toward_hubs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def _across(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of different components that pass the length and positional filters at some shingle."""
+    """(a, b): the pairs of different components that pass the length and positional filters at some shingle, and the suffix filter."""
     salts = F.ceil(F.col("size") / SPREAD).cast("int")
-    side = lambda c: F.struct("n", "class", "place", "short", "label").alias(c)
+    side = lambda c: F.struct("n", "class", "place", "short", "label", "parts").alias(c)
     few = lists.where("label <> most").select("value", side("x"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
     all_ = lists.select("value", side("y"), F.pmod(F.xxhash64("class"), salts).cast("int").alias("_salt"))
     # the smaller set, of equal ones the smaller number, is the one whose shorter prefix is posted
     both = few.join(all_, ["value", "_salt"]).where("x.label <> y.label").select(F.least("x", "y").alias("s"), F.greatest("x", "y").alias("l"))
     left = F.least(F.col("s.n") - F.col("s.place"), F.col("l.n") - F.col("l.place"))
-    fit = (F.col("s.n") * 100 >= F.col("l.n") * percent) & (left >= overlap(F.col("s.n"), F.col("l.n"), percent))
+    least = overlap(F.col("s.n"), F.col("l.n"), percent)
+    fit = (F.col("s.n") * 100 >= F.col("l.n") * percent) & (left >= least) & (_most(F.col("s.parts"), F.col("l.parts")) >= least)
     return both.where(F.col("s.short") & fit).select(F.least("s.class", "l.class").alias("a"), F.greatest("s.class", "l.class").alias("b")).distinct()
 
 
@@ -225,7 +231,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     likely = written(classes.join(_likely(docs, classes.select("class", "n"), words, percent), "class", "left_semi").select("class", "rep"))
     sets = written(_sets(docs, likely, words))
     posts = written(_postings(written(_shared(sets, percent)), percent))
-    reps = written(likely.join(posts.select("class").distinct(), "class", "left_semi"))
+    reps = written(sets.select("class", "rep", "parts").join(posts.select("class").distinct(), "class", "left_semi"))
 
     # rows of one id are one document: the classes of an id are linked through its smallest representative
     placed = own.join(classes.select("class", "rep"), "class").select("id", "rep", "n")
@@ -242,7 +248,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
         pairs = _across(lists, percent) if last else _toward_hubs(lists, turn, percent)
         pairs = written(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"))
         met = pairs if met is None else met.unionByName(pairs)
-        new = written(_verified(pairs, sets, percent))
+        new = written(_verified(pairs, sets, percent, filtered=last))
         fruitful = 4 * new.count() >= pairs.count()
         if not new.isEmpty():
             links = written(links.unionByName(new))
