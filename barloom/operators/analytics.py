@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import columns as C
+from . import scan
 
 DRAWDOWN_FLOOR = 1e-9  # a fixed value
 
@@ -18,12 +19,18 @@ def trade_metrics(trades: DataFrame, by: str = "symbol", capital: float = 100_00
 
     A factor without a divisor is 0, the profit factor the gross profit. `commission` is summed where the trades have it.
     """
-    w = W.partitionBy(by).orderBy("exit_time", "trade_id")
-    run = w.rowsBetween(W.unboundedPreceding, 0)
     t = trades if "commission" in trades.columns else trades.withColumn("commission", F.lit(0.0))
-    t = t.withColumns({"win": F.col("pnl") > 0, "equity": F.lit(capital) + F.sum("pnl").over(run)})
-    t = t.withColumns({"peak": F.greatest(F.lit(capital), F.max("equity").over(run)), "new": F.when(F.lag("win").over(w) == F.col("win"), 0).otherwise(1)}).withColumn("island", F.sum("new").over(run))
-    streaks = t.groupBy(by, "island", "win").agg(F.count(F.lit(1)).alias("n")).groupBy(by).agg(F.max(F.when(F.col("win"), F.col("n"))).alias("max_win_streak"), F.max(F.when(~F.col("win"), F.col("n"))).alias("max_loss_streak"))
+    order = ("exit_time", "trade_id")
+    t = scan.chunked(t.select(by, *order, "pnl", "commission"), by, *order)
+    w = scan.within(by, *order)
+    run = w.rowsBetween(W.unboundedPreceding, 0)
+    t = t.withColumns({"win": F.col("pnl") > 0, "_run": F.sum("pnl").over(run)})
+    t = t.withColumns({"_top": F.max("_run").over(run), "new": F.when(F.lag("win").over(w) == F.col("win"), 0).otherwise(1)}).withColumn("island", F.sum("new").over(run))
+    sums = t.groupBy(by, "_chunk").agg(F.sum("pnl").alias("sum"), F.max("_run").alias("top")).withColumn("_off", F.sum("sum").over(scan.before(by)))
+    sums = sums.withColumn("_high", F.max(scan.plus(F.col("_off"), F.col("top"))).over(scan.before(by)))
+    streaks = _streaks(t, by)
+    t = t.join(F.broadcast(sums.select(by, "_chunk", "_off", "_high")), [by, "_chunk"])  # a row for each chunk
+    t = t.withColumns({"equity": F.lit(capital) + scan.plus(F.col("_off"), F.col("_run")), "peak": F.lit(capital) + F.greatest(F.lit(0.0), "_high", scan.plus(F.col("_off"), F.col("_top")))})
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     out = t.groupBy(by).agg(
         F.count(F.lit(1)).alias("total_trades"), F.sum("pnl").alias("total_pnl"), F.sum("commission").alias("total_commission"), F.avg(F.col("win").cast("double")).alias("win_rate"), F.count(F.when(F.col("win"), 1)).alias("winning_trades"), F.count(F.when(~F.col("win"), 1)).alias("losing_trades"),
@@ -35,6 +42,21 @@ def trade_metrics(trades: DataFrame, by: str = "symbol", capital: float = 100_00
     return out.join(streaks, by).withColumns({"max_win_streak": F.coalesce("max_win_streak", F.lit(0)), "max_loss_streak": F.coalesce("max_loss_streak", F.lit(0))})
 
 
+def _streaks(t: DataFrame, by: str) -> DataFrame:
+    """Longest runs of wins and of losses, of trades whose islands are numbered within chunks: those at a chunk's ends go on in the next."""
+    islands = t.groupBy(by, "_chunk", "island", "win").agg(F.count(F.lit(1)).alias("n"))
+    longest = lambda n: (F.max(F.when(F.col("win"), n)).alias("max_win_streak"), F.max(F.when(~F.col("win"), n)).alias("max_loss_streak"))
+    piece = F.struct("island", "win", "n")
+    chunks = islands.groupBy(by, "_chunk").agg(*longest(F.col("n")), F.min_by(piece, "island").alias("first"), F.max_by(piece, "island").alias("last"))
+    ends = chunks.select(by, "_chunk", F.inline(F.array_distinct(F.array("first", "last"))))
+    w = W.partitionBy(by).orderBy("_chunk", "island")
+    joined = (F.lag("win").over(w) == F.col("win")) & (F.lag("_chunk").over(w) != F.col("_chunk"))
+    ends = ends.withColumn("new", F.when(joined, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    across = ends.groupBy(by, "run", "win").agg(F.sum("n").alias("n")).groupBy(by).agg(*longest(F.col("n")))
+    names = ("max_win_streak", "max_loss_streak")
+    return chunks.select(by, *names).unionByName(across).groupBy(by).agg(*(F.max(x).alias(x) for x in names))
+
+
 def trade_sharpe(trades: DataFrame, days: float, by: str = "symbol", capital: float = 100_000.0) -> DataFrame:
     """Mean over deviation of the trades' returns, times the root of 252 over the `days` of the test; 0 where that isn't defined."""
     ret, dev = F.col("pnl") / capital, F.stddev_samp(F.col("pnl") / capital)

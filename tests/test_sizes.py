@@ -1,8 +1,10 @@
 """Odd ticks, and groups that are longer than a task should hold."""
 
+import random
 from datetime import datetime, timedelta
 
 import duckdb
+from barloom.operators import analytics, scan
 from barloom.plans import studies as S
 
 
@@ -19,3 +21,32 @@ def test_tick_bars_skip_missing_values_in_any_session_zone(spark, tmp_path):
             assert sorted(str(tuple(r)) for r in S.tick_resample(spark, str(tmp_path)).collect()) == want
         finally:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def chunk_sizes(df, by, *order):
+    return [r["count"] for r in scan.chunked(df, by, *order).groupBy("_chunk").count().collect()]
+
+
+def test_trade_metrics_are_the_same_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(scan, "ROWS", 20)
+    r = random.Random(4)
+    rows = [(s, i, datetime(2024, 1, 1) + timedelta(days=i // 50), r.choice([None, 0.0, 3000.0, -5000.0, 7000.0, -2500.0]) if s != "run" else (1.0 if 30 <= i < 190 else -1.0)) for s in ("x", "y", "run") for i in range(220)] + [("nulls", i, datetime(2024, 1, 1), None) for i in range(45)] + [("nulls", 99, datetime(2024, 1, 2), 5.0)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "symbol string, trade_id long, exit_time timestamp, pnl double")
+    assert max(chunk_sizes(df, "symbol", "exit_time", "trade_id")) < 100
+    got = {x.symbol: x for x in analytics.trade_metrics(df, capital=10_000.0).collect()}
+    assert len(got) == 4
+    for s, x in got.items():
+        pnl = [p for _, _, p in sorted((t, i, p) for k, i, t, p in rows if k == s)]
+        equity, peak, worst, share, streak, best, last = 10_000.0, 10_000.0, 0.0, 0.0, 0, {True: 0, False: 0}, None
+        for p in pnl:
+            equity += p or 0.0
+            peak = max(peak, equity)
+            worst, share = max(worst, peak - equity), max(share, (peak - equity) / peak)
+            win = None if p is None else p > 0
+            streak = streak + 1 if win is not None and win == last else 1
+            last = win
+            if win is not None:
+                best[win] = max(best[win], streak)
+        assert (x.max_drawdown, x.max_win_streak, x.max_loss_streak) == (worst, best[True], best[False]), s
+        assert abs(x.max_drawdown_pct - share) < 1e-12 and x.total_trades == len(pnl) and x.total_pnl == sum(p or 0.0 for p in pnl)
