@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import scan
+
 MONEY = "decimal(20,8)"
 POSITIONS = f"account string, symbol string, fill_id bigint, time timestamp, side string, quantity {MONEY}, entry {MONEY}, realised {MONEY}"
 
@@ -43,29 +46,49 @@ def positions(fills: DataFrame, point_value: int = 1) -> DataFrame:
     """Each fill (account, symbol, fill_id, time, side, quantity, price) with the position after it and the profit it realised.
 
     A fill on the position's side adds at the weighted price; one against it closes, and what is left over opens the
-    other side. Repeated fill ids count once. Account and symbol are the group.
+    other side. Repeated fill ids count once. Account and symbol are the group; its fills stream through one task in order.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time", "fill_id"], kind="stable")
-        held, entry, out = Decimal(0), Decimal(0), []  # held is negative when short
-        unit = Decimal("0.00000001")
-        for f in pdf.itertuples():
-            change = f.quantity if f.side == "BUY" else -f.quantity
-            closed = min(abs(held), abs(change)) if held * change < 0 else Decimal(0)
-            won = closed * (f.price - entry) * point_value * (1 if held > 0 else -1)
-            after = held + change
-            if held * after <= 0:
-                entry = f.price
-            elif not closed:
-                entry = ((entry * abs(held) + f.price * abs(change)) / abs(after)).quantize(unit)
-            held = after
-            side = "LONG" if held > 0 else "SHORT" if held < 0 else "FLAT"
-            out.append((f.account, f.symbol, f.fill_id, f.time, side, abs(held), entry if held else None, won.quantize(unit)))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in POSITIONS.split(", ")])
-
-    typed = once(fills, ["account", "symbol", "fill_id"], "time", "quantity", "price").withColumns({c: F.col(c).cast(MONEY) for c in ("quantity", "price")})
-    return typed.groupBy("account", "symbol").applyInPandas(run, POSITIONS)
+    unit, zero = Decimal("0.00000001"), Decimal(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, entry = None, zero, zero  # held is negative when short
+        for batch in batches:
+            sides, quantities, entries, realised = [], [], [], []
+            for account, symbol, side, quantity, price in zip(*(batch[c].to_pylist() for c in ("account", "symbol", "side", "quantity", "price")), strict=True):
+                if key != (account, symbol):
+                    key, held, entry = (account, symbol), zero, zero
+                change = quantity if side == "BUY" else -quantity
+                closed = min(abs(held), abs(change)) if held * change < 0 else zero
+                won = closed * (price - entry) * point_value * (1 if held > 0 else -1)
+                after = held + change
+                if held * after <= 0:
+                    entry = price
+                elif not closed:
+                    entry = ((entry * abs(held) + price * abs(change)) / abs(after)).quantize(unit)
+                held = after
+                sides.append("LONG" if held > 0 else "SHORT" if held < 0 else "FLAT")
+                quantities.append(abs(held))
+                entries.append(entry if held else None)
+                realised.append(won.quantize(unit))
+            made = [pa.array(sides, pa.string()), *(pa.array(x, pa.decimal128(20, 8)) for x in (quantities, entries, realised))]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("account", "symbol", "fill_id", "time")), *made], names=[x.split()[0] for x in POSITIONS.split(", ")])
+
+    dealt = _typed(fills).sortWithinPartitions("account", "symbol", F.asc_nulls_last("time"), F.asc_nulls_last("fill_id"))
+    return dealt.select("account", "symbol", "fill_id", "time", "side", "quantity", "price").mapInArrow(run, POSITIONS)
+
+
+def _typed(fills: DataFrame) -> DataFrame:
+    """Each fill once, an account's and symbol's in one partition."""
+    dealt = fills.repartition(max(1, -(-fills.count() // scan.ROWS)), "account", "symbol")
+    return once(dealt, ["account", "symbol", "fill_id"], "time", "quantity", "price").withColumns({c: F.col(c).cast(MONEY) for c in ("quantity", "price")})
+
+
+def net(fills: DataFrame) -> DataFrame:
+    """(account, symbol, side, quantity): the positions after all fills. What is held is the sum of the changes, so nothing is folded."""
+    held = _typed(fills).groupBy("account", "symbol").agg(F.sum(F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))).alias("_held"))
+    side = F.when(F.col("_held") > 0, "LONG").when(F.col("_held") < 0, "SHORT").otherwise("FLAT")
+    return held.select("account", "symbol", side.alias("side"), F.abs("_held").cast(MONEY).alias("quantity"))
 
 
 def ledger(after: DataFrame, start: Column, fee: Column) -> DataFrame:

@@ -4,8 +4,11 @@ import random
 from datetime import datetime, timedelta
 
 import duckdb
-from barloom.operators import analytics, scan
+from barloom.operators import analytics, ledger, scan
 from barloom.plans import studies as S
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_tick_bars_skip_missing_values_in_any_session_zone(spark, tmp_path):
@@ -50,3 +53,18 @@ def test_trade_metrics_are_the_same_over_chunks(spark, monkeypatch):
                 best[win] = max(best[win], streak)
         assert (x.max_drawdown, x.max_win_streak, x.max_loss_streak) == (worst, best[True], best[False]), s
         assert abs(x.max_drawdown_pct - share) < 1e-12 and x.total_trades == len(pnl) and x.total_pnl == sum(p or 0.0 for p in pnl)
+
+
+def made_fills(spark):
+    r = random.Random(5)
+    rows = [(r.choice("ab"), r.choice(["s", "t", "u"]), i, datetime(2024, 1, 1) + timedelta(hours=i // 9), r.choice(["BUY", "SELL"]), float(r.randint(1, 9)), r.randint(100, 900) / 100) for i in range(300)]
+    rows += [(*x[:3], x[3] + timedelta(days=90), *x[4:]) for x in rows[:40]]  # repeated fills
+    return spark.createDataFrame(rows, "account string, symbol string, fill_id long, time timestamp, side string, quantity double, price double").repartition(5)
+
+
+def test_net_positions_are_the_last_ones_without_a_fold(spark):
+    last = F.max_by(F.struct("side", "quantity"), F.struct("time", "fill_id"))
+    want = ledger.positions(made_fills(spark)).groupBy("account", "symbol").agg(last.alias("p")).select("account", "symbol", "p.*")
+    assert sorted(map(tuple, ledger.net(made_fills(spark)).collect())) == sorted(map(tuple, want.collect()))
+    plan = S.net_positions(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("InPandas", "InArrow"))
