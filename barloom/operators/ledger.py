@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources import scratch
 from . import scan
 
 MONEY = "decimal(20,8)"
@@ -93,8 +94,12 @@ def net(fills: DataFrame) -> DataFrame:
 
 def ledger(after: DataFrame, start: Column, fee: Column) -> DataFrame:
     """Entries (account, fill_id, kind, amount, balance_after), none of zero; both entries of a fill carry the balance after it."""
-    w = W.partitionBy("account").orderBy("time", "fill_id").rowsBetween(W.unboundedPreceding, 0)
-    net = F.col("realised") - fee.cast(MONEY)
-    rows = after.withColumn("balance_after", (start.cast(MONEY) + F.sum(net).over(w)).cast(MONEY))
-    kinds = F.array(F.struct(F.lit("realised_pnl").alias("kind"), F.col("realised").alias("amount")), F.struct(F.lit("fee").alias("kind"), (-fee).cast(MONEY).alias("amount")))
+    rows = scratch.kept(after.select("account", "fill_id", "time", "realised", start.cast(MONEY).alias("_start"), fee.cast(MONEY).alias("_fee")))
+    rows = scan.chunked(rows, "account", "time", "fill_id").withColumn("_net", F.col("realised") - F.col("_fee"))
+    sums = rows.groupBy("account", "_chunk").agg(F.sum("_net").alias("_sum")).withColumn("_off", F.sum("_sum").over(scan.before("account")))
+    off = F.broadcast(sums.select(F.col("account").alias("_account"), F.col("_chunk").alias("_at"), "_off"))  # a row for each chunk
+    run = F.sum("_net").over(scan.within("account", "time", "fill_id").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("_run", run).join(off, F.col("account").eqNullSafe(F.col("_account")) & (F.col("_chunk") == F.col("_at")))
+    rows = rows.withColumn("balance_after", (F.col("_start") + scan.plus(F.col("_off"), F.col("_run"))).cast(MONEY))
+    kinds = F.array(F.struct(F.lit("realised_pnl").alias("kind"), F.col("realised").alias("amount")), F.struct(F.lit("fee").alias("kind"), (-F.col("_fee")).cast(MONEY).alias("amount")))
     return rows.select("account", "fill_id", "time", F.inline(kinds), "balance_after").where("amount <> 0")

@@ -62,6 +62,22 @@ def made_fills(spark):
     return spark.createDataFrame(rows, "account string, symbol string, fill_id long, time timestamp, side string, quantity double, price double").repartition(5)
 
 
+def test_balances_are_the_same_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(scan, "ROWS", 25)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # a group goes on in the next batch
+    try:
+        after = ledger.positions(made_fills(spark)).collect()
+        entries = ledger.ledger(ledger.positions(made_fills(spark)), F.lit(1000), F.lit(0.5)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(after) == 300 and max(chunk_sizes(spark.createDataFrame(after), "account", "time", "fill_id")) < 100
+    balance, want = {}, {}
+    for x in sorted(after, key=lambda x: (x.time, x.fill_id)):
+        balance[x.account] = want[x.account, x.fill_id] = balance.get(x.account, 1000) + float(x.realised) - 0.5
+    assert {(e.account, e.fill_id) for e in entries} == set(want)
+    assert all(abs(float(e.balance_after) - want[e.account, e.fill_id]) < 1e-6 for e in entries)
+
+
 def test_net_positions_are_the_last_ones_without_a_fold(spark):
     last = F.max_by(F.struct("side", "quantity"), F.struct("time", "fill_id"))
     want = ledger.positions(made_fills(spark)).groupBy("account", "symbol").agg(last.alias("p")).select("account", "symbol", "p.*")
