@@ -84,3 +84,12 @@ def test_net_positions_are_the_last_ones_without_a_fold(spark):
     assert sorted(map(tuple, ledger.net(made_fills(spark)).collect())) == sorted(map(tuple, want.collect()))
     plan = S.net_positions(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("InPandas", "InArrow"))
+
+
+def test_extended_metrics_are_the_same_over_chunks(spark, monkeypatch):
+    rows = [("x", i, datetime(2024, 1, 1) + timedelta(days=i // 40), float(i * 7919 % 601 - 300)) for i in range(200)]
+    df = spark.createDataFrame(rows, "symbol string, trade_id long, exit_time timestamp, pnl double")
+    days = spark.createDataFrame([("x", 1.5)], "symbol string, sharpe double")
+    whole = analytics.extended_metrics(df, days, 100.0).first()
+    monkeypatch.setattr(scan, "ROWS", 15)
+    assert analytics.extended_metrics(df, days, 100.0).first() == whole and max(chunk_sizes(df, "symbol", "exit_time", "trade_id")) < 60
