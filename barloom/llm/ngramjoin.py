@@ -11,10 +11,12 @@ hold the overlap (positional filter; it holds at the first shingle that the pair
 the two sets in 64 parts of the hash range can (suffix filter: the parts' smaller counts add up to the most that two sets can share). Each pair
 is then verified once, on full sets.
 
-Groups of many like texts don't become all their pairs: in rounds, each class that meets classes of other components
-is compared with one hub, a class that the most of its lists name; verified links make components, and pairs within a component are
-left out. What is left over - a list's classes outside its commonest component against the whole list - is
-compared pair by pair, so that no link between components is missed. Long lists and hubs are spread over salts.
+Groups of many like texts don't become all their pairs: a list of over MANY classes is compared in blocks, with all overlaps
+of two blocks counted at once and links sent on only as they join components. Where lists are far longer than a block,
+rounds go first in which each class that meets classes of other components is compared with one hub, a class that the most of its
+lists name; verified links make components, and pairs within a component are left out. What is left over - a list's
+classes outside its commonest component against the whole list - is compared, so that no link between components is
+missed: in short lists pair by pair, in long ones by blocks. Hubs are spread over salts.
 
 Edge cases: null and empty texts have no shingles and no links; a text shorter than a shingle is one shingle. Rows of one
 id are one document, linked with all that any of them is linked with. A row with a null id is linked with nothing and
@@ -33,14 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import tidy, written
+from .common import tasks, tidy, written
 from .components import components
 from .exchange import PACKED, buckets, from_planes, held_by_others, notes, packing
 from .neardup import shingles
 
 #: rounds of hubs at most; a round is due where lists are longer than so many, on average over postings: LONG if a quarter of the last
 #: round's pairs were alike, else LONGER, as looking through a list costs little and hubs lead no further
-ROUNDS, LONG, LONGER = 2, 64, 1024
+ROUNDS, LONG, LONGER = 2, 1024, 16_384
+#: lists of more classes are compared in blocks of so many classes and, on average, shingles at most; columns of a block's table at once
+MANY, BLOCK, ENTRIES, COLUMNS = 64, 1024, 1_000_000, 4096
 #: rows of one key that stay together; parts of the hash range that are counted
 SPREAD, PARTS = 1_000, 64
 
@@ -179,19 +183,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, filtered: bool =
     return _both(pairs, sets, "rep", "set").select("rep_a", "rep_b", "set_a", "set_b").mapInArrow(tidy(run), "a long, b long").where("a <> b").distinct()
 
 
-def _lists(posts: DataFrame, reps: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(value, class, n, place, short, label, parts, size, most): lists of several components; of lists with the same members the rarest shingle's.
+def _lists(posts: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(value, often, class, rep, n, place, short, label, parts, size, held, outside, most): lists of several components; of lists with the same members the rarest shingle's.
 
-    `most` is the list's commonest component. The rarest of shingles that the same classes post is the first that any two of them share.
+    `posts` are postings, or the lists before `labels` were known: a list of one component stays one. `most` is the list's commonest component,
+    `outside` the classes that aren't in it, `held` the shingles of all. The rarest of shingles that the same classes post is the first that any two of them share.
     """
-    known = reps if labels is None else reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    known = posts.join(known.select("class", F.col("rep" if labels is None else "label").alias("label"), "parts"), "class")
+    known = posts.select("value", "often", "class", "rep", "n", "place", "short", *(c for c in posts.columns if c == "parts"))
+    known = known.withColumn("label", F.col("rep")) if labels is None else known.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     same = [F.sum(F.xxhash64("class", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in (1, 2)]
-    lists = known.groupBy("value").agg(F.min("often").alias("often"), F.count(F.lit(1)).alias("size"), F.max("short").alias("any"), F.min("label").alias("x"), F.max("label").alias("y"), *same).where("x < y and any")
-    lists = lists.groupBy("size", "h1", "h2").agg(F.min(F.struct("often", "value")).alias("v")).select("v.value", "size")
-    mixed = written(known.join(lists, "value"))
-    most = mixed.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max(F.struct("c", "label")).alias("m")).select("value", F.col("m.label").alias("most"))
-    return mixed.join(most, "value")
+    lists = known.groupBy("value").agg(F.min("often").alias("often"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("held"), F.max("short").alias("any"), F.min("label").alias("x"), F.max("label").alias("y"), *same).where("x < y and any")
+    lists = lists.groupBy("size", "held", "h1", "h2").agg(F.min(F.struct("often", "value")).alias("v")).select("v.value", "size", "held")
+    mixed = known.join(lists, "value")
+    mixed = written(mixed if "parts" in posts.columns else mixed.join(sets.select("class", "parts"), "class"))
+    most = mixed.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max(F.struct("c", "label")).alias("m")).select("value", F.col("m.label").alias("most"), F.col("m.c").alias("inside"))
+    return mixed.join(most, "value").withColumn("outside", F.col("size") - F.col("inside")).drop("inside")
 
 
 def _toward_hubs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -210,18 +216,99 @@ def _toward_hubs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
 
 def _across(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs of different components that pass the length and positional filters at some shingle, and the suffix filter."""
-    salts = F.ceil(F.col("size") / SPREAD).cast("int")
     side = lambda c: F.struct("n", "class", "place", "short", "label", "parts").alias(c)
-    few = lists.where("label <> most").select("value", side("x"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
-    all_ = lists.select("value", side("y"), F.pmod(F.xxhash64("class"), salts).cast("int").alias("_salt"))
     # the smaller set, of equal ones the smaller number, is the one whose shorter prefix is posted
-    both = few.join(all_, ["value", "_salt"]).where("x.label <> y.label").select(F.least("x", "y").alias("s"), F.greatest("x", "y").alias("l"))
+    both = lists.where("label <> most").select("value", side("x")).join(lists.select("value", side("y")), "value").where("x.label <> y.label").select(F.least("x", "y").alias("s"), F.greatest("x", "y").alias("l"))
     left = F.least(F.col("s.n") - F.col("s.place"), F.col("l.n") - F.col("l.place"))
     least = overlap(F.col("s.n"), F.col("l.n"), percent)
     fit = (F.col("s.n") * 100 >= F.col("l.n") * percent) & (left >= least) & (_most(F.col("s.parts"), F.col("l.parts")) >= least)
     return both.where(F.col("s.short") & fit).select(F.least("s.class", "l.class").alias("a"), F.greatest("s.class", "l.class").alias("b")).distinct()
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets share: values of many sets by products of 0/1 tables, those of few by their pairs."""
+    m, sizes = len(sets), [len(s) for s in sets]
+    keys, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    counts = np.diff(np.r_[starts, len(keys)])
+    often = np.repeat(counts, counts)
+    few = max(1, min(32, m // 16))
+    shared = np.zeros((m, m), np.float32)
+    rare = (often > 1) & (often <= few)
+    k, o = keys[rare], owner[rare]
+    for d in range(1, few):
+        if not len(met := np.flatnonzero(k[d:] == k[:-d])):
+            break
+        shared += np.bincount(o[met] * m + o[met + d], minlength=m * m).reshape(m, m)
+    shared += shared.T
+    dense = often > few
+    o, column = owner[dense], np.repeat(np.arange(np.count_nonzero(counts > few)), counts[counts > few])
+    for at in range(0, column[-1] + 1 if len(column) else 0, COLUMNS):
+        a, z = np.searchsorted(column, (at, at + COLUMNS))
+        table = np.zeros((m, column[z - 1] + 1 - at), np.float32)
+        table[o[a:z], column[a:z] - at] = 1
+        shared += table @ table.T
+    shared = shared.astype(np.int64)
+    np.fill_diagonal(shared, sizes)
+    return shared
+
+
+def _forest(alike: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links that join all that a symmetric table of links joins, fewer than it has rows."""
+    seen, a, b = np.zeros(len(alike), bool), [], []
+    for start in np.flatnonzero(alike.any(1)):
+        front = np.array([] if seen[start] else [start], np.int64)
+        seen[start] = True
+        while len(front):
+            rows = alike[front]
+            new = np.flatnonzero(rows.any(0) & ~seen)
+            a += front[rows[:, new].argmax(0)].tolist()
+            b += new.tolist()
+            seen[new] = True
+            front = new
+    return a, b
+
+
+def _by_blocks(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b), by representative: links that join what the lists' pairs of different components join, by exact overlaps.
+
+    A list's commonest component and the classes outside it are dealt to blocks of their own. Every two blocks meet, but not two of
+    the commonest component; a row is sent for each class and meeting, none for a pair.
+    """
+    width = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.col("size") * ENTRIES / F.col("held"))))
+    dealt = lists.withColumns({"_few": F.ceil(F.col("outside") / width).cast("int"), "_rest": F.ceil((F.col("size") - F.col("outside")) / width).cast("int")})
+    at = F.xxhash64("class", F.lit(1))
+    dealt = dealt.withColumn("_block", F.when(F.col("label") != F.col("most"), F.pmod(at, "_few")).otherwise(F.col("_few") + F.pmod(at, "_rest")).cast("int"))
+    # there are two blocks at least; of the commonest component's, each meets the others' alone
+    others = F.filter(F.sequence(F.lit(0), F.when(F.col("label") != F.col("most"), F.col("_few") + F.col("_rest")).otherwise(F.col("_few")) - 1), lambda x: x != F.col("_block"))
+    rows = written(dealt.select("value", "class", "label", "_block", F.explode(others).alias("_other")).select("value", "class", "label", F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j")))
+    named = sets.select("class", "rep", "set").join(rows.select("class").distinct(), "class", "left_semi")
+
+    def settle(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+        reps, labels, found = zip(*group, strict=True)
+        shared, labels = _overlaps([np.frombuffer(s, np.uint64) for s in found]), np.array(labels)
+        n = np.diag(shared)
+        a, b = _forest((100 * shared >= percent * (n[:, None] + n - shared)) & (labels[:, None] != labels))
+        yield pa.RecordBatch.from_pydict({"a": pa.array([reps[x] for x in a], pa.int64()), "b": pa.array([reps[x] for x in b], pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = [], None
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            for value, i, j, *row in zip(*(batch[c].to_pylist() for c in ("value", "i", "j", "rep", "label", "set")), strict=True):
+                if (value, i, j) != last and group:
+                    yield from settle(group)
+                    group = []
+                last = value, i, j
+                group.append(row)
+        if group:
+            yield from settle(group)
+
+    met = rows.join(named, "class").repartition(tasks(lists.sparkSession), "value", "i", "j").sortWithinPartitions("value", "i", "j")
+    return met.select("value", "i", "j", "rep", "label", "set").mapInArrow(tidy(run), "a long, b long").where("a <> b").distinct()
+
+
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `df`: id, n_shingles and component_id, the smallest id that links lead to."""
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -230,8 +317,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     classes = written(own.groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
     likely = written(classes.join(_likely(docs, classes.select("class", "n"), words, percent), "class", "left_semi").select("class", "rep"))
     sets = written(_sets(docs, likely, words))
-    posts = written(_postings(written(_shared(sets, percent)), percent))
-    reps = written(sets.select("class", "rep", "parts").join(posts.select("class").distinct(), "class", "left_semi"))
+    posts = written(_postings(written(_shared(sets, percent)), percent).join(likely, "class"))
 
     # rows of one id are one document: the classes of an id are linked through its smallest representative
     placed = own.join(classes.select("class", "rep"), "class").select("id", "rep", "n")
@@ -240,16 +326,18 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     labels = None if links.isEmpty() else components(links)
     met, fruitful = None, True
     for turn in range(ROUNDS + 1):
-        lists = written(_lists(posts, reps, labels))
+        posts = lists = written(_lists(posts, sets, labels))
         left = lists.agg(F.sum(F.when(F.col("label") != F.col("most"), F.col("size"))).alias("pairs"), F.count(F.lit(1)).alias("n")).first()
         if not left.pairs:
             break
         last = turn == ROUNDS or left.pairs <= (LONG if fruitful else LONGER) * left.n
-        pairs = _across(lists, percent) if last else _toward_hubs(lists, turn, percent)
+        pairs = _across(lists.where(F.col("size") <= MANY), percent) if last else _toward_hubs(lists, turn, percent)
         pairs = written(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"))
         met = pairs if met is None else met.unionByName(pairs)
         new = written(_verified(pairs, sets, percent, filtered=last))
-        fruitful = 4 * new.count() >= pairs.count()
+        fruitful = last or 4 * new.count() >= pairs.count()
+        if last and not (long := lists.where(F.col("size") > MANY)).isEmpty():
+            new = written(new.unionByName(_by_blocks(long, sets, percent)))
         if not new.isEmpty():
             links = written(links.unionByName(new))
             labels = components(links)

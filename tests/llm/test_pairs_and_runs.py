@@ -103,6 +103,60 @@ def test_ngram_join_emits_no_pairs_of_a_group(spark):
     assert {r.component_id for r in got} == {0} and sum(seen) <= 3 * len(rows)
 
 
+def like_group(seed, n, edits):
+    """A text's copies with some words replaced: few of their pairs are alike, though all share most shingles."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.randint(2, edits)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_ngram_join_makes_no_pairs_of_a_group_that_is_little_alike(spark, monkeypatch):
+    rows = like_group(5, 400, 9)
+    seen, verified = [], ngramjoin._verified
+
+    def counting(pairs, *more, **named):
+        seen.append(pairs.count())
+        return verified(pairs, *more, **named)
+
+    monkeypatch.setattr(ngramjoin, "_verified", counting)
+    got = {r.id: r.component_id for r in ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = components_of(rows, 80)
+    assert got == want and 20 < len(set(want.values())) < 380
+    assert sum(seen) <= 3 * len(rows)
+
+
+@pytest.mark.parametrize(("many", "block", "entries", "columns", "long"), [(1, 7, 1_000_000, 3, 1024), (0, 1000, 500, 4096, 0), (4, 1000, 1_000_000, 4096, 1024)])
+def test_ngram_join_by_blocks(spark, monkeypatch, many, block, entries, columns, long):
+    """Blocks of few classes, of few shingles, and lists as one block, with and without hubs before them."""
+    for name, value in (("MANY", many), ("BLOCK", block), ("ENTRIES", entries), ("COLUMNS", columns), ("LONG", long), ("LONGER", long)):
+        monkeypatch.setattr(ngramjoin, name, value)
+    rows = like_texts(3, 120) + [(i + 1000, t) for i, t in like_group(4, 60, 6)]
+    got = ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    assert {r.id: r.component_id for r in got if r.id is not None} == components_of(rows, 80)
+
+
+def test_overlaps_and_forests():
+    r = np.random.default_rng(7)
+    for m, values in ((1, 5), (3, 40), (70, 30), (70, 3000)):
+        sets = [np.unique(r.integers(0, values, r.integers(1, 60))).astype(np.uint64) for _ in range(m)]
+        shared = ngramjoin._overlaps(sets)
+        assert shared.tolist() == [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+        alike = (shared > 3) & ~np.eye(m, dtype=bool)
+        a, b = ngramjoin._forest(alike)
+        head = list(range(m))
+        for x, y in zip(a, b, strict=True):
+            assert alike[x, y] and head[x] != head[y]
+            head = [head[x] if h == head[y] else h for h in head]
+        assert all(head[x] == head[y] for x, y in zip(*np.nonzero(alike), strict=True))
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngramjoin.jaccard_components(docs).count() == 0
