@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.columns import correlation
 from ..sources.scratch import kept
+from . import scan
 
 EULER = 0.5772156649015329  # the Euler-Mascheroni constant
 
@@ -23,8 +24,12 @@ def equity_curve(trades: DataFrame, start: datetime, end: datetime, by: str = "s
     A trade without an exit time takes no part, and one without a profit adds nothing.
     """
     closed = trades.where("exit_time is not null").select(by, F.col("exit_time").alias("time"), F.coalesce("pnl", F.lit(0.0)).alias("pnl"))
-    at = closed.groupBy(by, "time").agg(F.sum("pnl").alias("pnl"))
-    curve = at.select(by, "time", (F.lit(capital) + F.sum("pnl").over(W.partitionBy(by).orderBy("time"))).alias("equity"), F.lit(1).alias("_o"))
+    at = scan.chunked(kept(closed.groupBy(by, "time").agg(F.sum("pnl").alias("pnl"))), by, "time")
+    sums = at.groupBy(F.col(by).alias("_by"), F.col("_chunk").alias("_at")).agg(F.sum("pnl").alias("_sum"))
+    sums = sums.withColumn("_off", F.sum("_sum").over(W.partitionBy("_by").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)))
+    at = at.withColumn("_run", F.sum("pnl").over(scan.within(by, "time").rowsBetween(W.unboundedPreceding, 0)))
+    at = at.join(F.broadcast(sums), (F.col("_chunk") == F.col("_at")) & F.col(by).eqNullSafe(F.col("_by")))  # a row for each chunk
+    curve = at.select(by, "time", (F.lit(capital) + scan.plus(F.col("_off"), F.col("_run"))).alias("equity"), F.lit(1).alias("_o"))
     kind = trades.schema["exit_time"].dataType
     point = lambda t, equity, o: F.struct(F.lit(t).cast(kind).alias("time"), equity.alias("equity"), F.lit(o).alias("_o"))
     total = trades.groupBy(by).agg((F.lit(capital) + F.coalesce(F.sum(F.when(F.col("exit_time").isNotNull(), F.col("pnl"))), F.lit(0.0))).alias("_t"))

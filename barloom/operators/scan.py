@@ -20,7 +20,8 @@ def chunked(df: DataFrame, by: str, *order: str, rows: int | None = None) -> Dat
     """`df` with `_chunk`, numbered in order of (by, order): about `rows` (ROWS) rows each, written once, so that they stay what they are."""
     n = max(1, -(-df.count() // (rows or ROWS)))
     ranged = df.repartitionByRange(n, by, *order).withColumn("_chunk", F.spark_partition_id())
-    return scratch.kept(ranged).repartition(n, by, "_chunk")
+    # dealt by ranges of the number: a hash puts several chunks into one task, and the more chunks there are, the more
+    return scratch.kept(ranged).repartitionByRange(2 * n, "_chunk")
 
 
 def within(by: str, *order: str) -> WindowSpec:

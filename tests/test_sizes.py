@@ -4,7 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import duckdb
-from barloom.operators import analytics, ledger, scan
+from barloom.operators import analytics, ledger, research, scan
 from barloom.plans import studies as S
 from pyspark.sql import functions as F
 
@@ -30,6 +30,15 @@ def chunk_sizes(df, by, *order):
     return [r["count"] for r in scan.chunked(df, by, *order).groupBy("_chunk").count().collect()]
 
 
+def test_a_task_holds_one_chunk(spark):
+    df = spark.range(6000).select((F.col("id") % 3).cast("string").alias("symbol"), "id")
+    t = scan.chunked(df, "symbol", "id", rows=150).withColumn("task", F.spark_partition_id())
+    held = [r.n for r in t.groupBy("task").agg(F.countDistinct("_chunk").alias("n")).collect()]
+    assert len(held) > 30 and max(held) == 1
+    runs = F.sum("id").over(scan.within("symbol", "id"))
+    assert t.withColumn("run", runs)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_trade_metrics_are_the_same_over_chunks(spark, monkeypatch):
     monkeypatch.setattr(scan, "ROWS", 20)
     r = random.Random(4)
@@ -93,3 +102,24 @@ def test_extended_metrics_are_the_same_over_chunks(spark, monkeypatch):
     whole = analytics.extended_metrics(df, days, 100.0).first()
     monkeypatch.setattr(scan, "ROWS", 15)
     assert analytics.extended_metrics(df, days, 100.0).first() == whole and max(chunk_sizes(df, "symbol", "exit_time", "trade_id")) < 60
+
+
+def test_equity_curve_is_the_same_over_chunks(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(s, datetime(2024, 1, 1) + timedelta(hours=i // 2), r.choice([None, 5.0, -3.0, 8.0])) for s in ("x", "y", None) for i in range(200)] + [("x", None, 4.0)]
+    df = spark.createDataFrame(rows, "symbol string, exit_time timestamp, pnl double").repartition(5)
+    start, end = datetime(2023, 12, 31), datetime(2024, 2, 1)
+    monkeypatch.setattr(scan, "ROWS", 15)
+    curve = research.equity_curve(df, start, end)
+    want = {}
+    for s in ("x", "y", None):
+        equity = 100_000.0
+        want[s, start] = equity
+        for _, at, pnl in sorted((x for x in rows if x[0] == s and x[1]), key=lambda x: x[1]):
+            want[s, at] = equity = equity + (pnl or 0.0)
+        want[s, end] = equity
+    got = {(x.symbol, x.time): x.equity for x in curve.collect()}
+    assert got == want and curve.count() == len(want)
+    # the long windows are of chunks, the others have a row for each chunk
+    plan = curve._jdf.queryExecution().executedPlan().toString()
+    assert all("_chunk" in line or "_at" in line for line in plan.splitlines() if "Window [" in line)
